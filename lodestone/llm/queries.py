@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from lodestone.llm import chat, decontaminate, line_dedup, merkle, packing, pii, token_counts
 from lodestone.llm import simhash as simhash_
 from lodestone.sources.tables import table
 
@@ -18,7 +25,134 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+def chat_digest(turns: DataFrame, budget: int = chat.BUDGET, history: int = chat.HISTORY) -> DataFrame:
+    """Digests of each conversation, read back from its formatted windows, which follow each other in one task."""
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_windows"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = []
+        held = None
+
+        def row() -> list:
+            conv, n, turns, chars, loss, total, windows = held
+            return [conv, n, turns.hexdigest(), chars, loss.hexdigest(), total, windows]
+
+        for b in batches:
+            for w in b.to_pylist():
+                if held is None or held[0] != w["conv_id"] or w["window"] == 0:
+                    if held:
+                        out.append(row())
+                    held = [w["conv_id"], 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
+                for role, text, _ in chat.read_back(w["formatted"])[w["repeated"] :]:
+                    held[1] += 1
+                    held[2].update(f"{role}\n{text}\n".encode())
+                for span in w["loss"]:
+                    text = chat.unescape(w["formatted"][span["start"] : span["end"]])
+                    held[3] += len(text)
+                    held[4].update(text.encode())
+                held[5] += len(w["formatted"])
+                held[6] += 1
+            if len(out) > 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], names=names)
+                out = []
+        if held:
+            out.append(row())
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], names=names)
+
+    kind = turns.schema["conv_id"].dataType
+    schema = f"conv_id {kind.simpleString()}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_windows bigint"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    return chat.formatted(turns, budget, history).mapInArrow(run, schema)
+
+
+@query
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id bigint, turn bigint, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_digest(turns.unionByName(more))
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+def merkle_digest(docs: DataFrame, part_chars: int = merkle.PART_CHARS) -> DataFrame:
+    t, e = F.col("tree"), F.col("edited_tree")
+    found = merkle.edit_report(docs, part_chars).select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), merkle.fingerprint(t).alias("fingerprint"), merkle.fingerprint(e).alias("edited_fingerprint"),
+        t.root.alias("r0"), e.root.alias("r1"), F.col("next.tree.root").alias("r2"), merkle.shown(t).alias("s0"), merkle.shown(e).alias("s1"), merkle.shown(F.col("next.tree")).alias("s2"),
+    )
+    near = lambda k: merkle.likeness(F.col("r0"), F.col("s0"), F.col(f"r{k}"), F.col(f"s{k}"))
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near(1).alias("near_edited"), near(2).alias("near_next"))
+
+
+@query
+def op4_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+
+
+def pii_digest(docs: DataFrame) -> DataFrame:
+    base = [k.name for k in pii.KINDS if k.is_base]
+    found = pii.find_pii(docs.select("doc_id", "text"))
+    def count(kind: str) -> Column:
+        return F.size(F.filter("pii", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    digest = F.sha2(pii.listed(F.filter("pii", lambda s: s.kind.isin(base))), 256)
+    return found.select("doc_id", *map(count, base), digest.alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"))
+
+
+@query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash_.hex_digits(found.fp).alias("fingerprint"), "component_id")
+
+
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("dropped").cast("long").alias("n_dropped"), F.array_join("dropped", ",").alias("dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+ORACLES["op10_line_dedup"] = r"""
+WITH lines AS (
+  SELECT doc_id, coalesce(text, '') AS doc, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+tokens AS (
+  SELECT doc_id, doc, pos, list_filter(string_split_regex(regexp_replace(line, '\S*[0-9]\S*', '<*>', 'g'), '\s+'), x -> x <> '') AS t FROM lines),
+leaves AS (
+  SELECT *, len(t) AS n, CAST(greatest(ceil((len(t) - 2) / 5.0), 1) AS BIGINT) AS w, CAST(len(t) AS VARCHAR) || ' ' || array_to_string(t[1:2], ' ') AS node,
+         array_to_string(t, ' ') AS key FROM tokens WHERE len(t) > 0),
+mixed AS (SELECT node FROM leaves GROUP BY node HAVING count(DISTINCT key) > 1),
+opened AS (
+  SELECT doc_id, doc, pos, n, 'open ' || b || ' ' || array_to_string(t[1:2 + b * w], ' ') || ' * ' || array_to_string(t[3 + (b + 1) * w:], ' ') || ' ' || n AS key
+  FROM leaves, (SELECT unnest(range(5)) AS b) WHERE n >= 12 AND node IN (SELECT node FROM mixed)),
+every AS (SELECT doc_id, doc, pos, n, n || ' ' || key AS key FROM leaves UNION ALL SELECT doc_id, doc, pos, n, key FROM opened),
+recurring AS (
+  SELECT key, arg_min(doc, {'d': doc_id, 'p': pos}) AS first_doc, arg_min(pos, {'d': doc_id, 'p': pos}) AS first_pos FROM every
+  GROUP BY key HAVING count(DISTINCT doc) >= CASE WHEN min(n) >= 20 THEN 2 WHEN min(n) >= 6 THEN 3 ELSE 10 END),
+drops AS (SELECT DISTINCT doc_id, pos FROM every JOIN recurring USING (key) WHERE doc <> first_doc OR pos <> first_pos),
+marked AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(d.pos) AS n_dropped, coalesce(string_agg(CAST(d.pos AS VARCHAR), ',' ORDER BY l.pos) FILTER (d.pos IS NOT NULL), '') AS dropped,
+         sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (d.pos IS NULL), '')) AS kept_sha256
+  FROM lines l LEFT JOIN drops d ON l.doc_id = d.doc_id AND l.pos = d.pos GROUP BY l.doc_id)
+SELECT doc_id, n_lines, n_dropped, dropped, kept_sha256 FROM marked
+"""
