@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from lodestone.llm import chat, decontaminate, line_dedup, merkle, packing, pii, token_counts
+from lodestone.llm import chat, decontaminate, line_dedup, merkle, packing, pii, token_counts, toxicity, url_filter
 from lodestone.llm import simhash as simhash_
 from lodestone.sources.tables import table
 
@@ -25,6 +25,13 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.TOXIC).cast("int").alias("predicted"))
+
+
 def chat_digest(turns: DataFrame, budget: int = chat.BUDGET, history: int = chat.HISTORY) -> DataFrame:
     """Digests of each conversation, read back from its formatted windows, which follow each other in one task."""
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_windows"]
@@ -105,6 +112,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
+@query
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
 def pii_digest(docs: DataFrame) -> DataFrame:
     base = [k.name for k in pii.KINDS if k.is_base]
     found = pii.find_pii(docs.select("doc_id", "text"))
