@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import reports
+from lodestone.plans import relational, reports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for _module in (reports,):
+for _module in (reports, relational):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
