@@ -14,7 +14,7 @@ BLOCK = r"\s*(?:\S{1,32}\s*){1,4}|\s+"
 #: Paragraphs (lines) of a section.
 SECTION = 8
 #: Characters of text that one task orders.
-PART_CHARS = 24_000_000
+PART_CHARS = 8_000_000
 #: Most parts, as their borders are sampled on the driver.
 MOST_PARTS = 4096
 
