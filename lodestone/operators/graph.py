@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.session import materialise
+from lodestone.session import shared_dir
 
 
 def transitive_closure(edges: DataFrame, seeds: DataFrame, most_rounds: int = 10_000) -> DataFrame:
@@ -14,15 +16,22 @@ def transitive_closure(edges: DataFrame, seeds: DataFrame, most_rounds: int = 10
     Each round joins the frontier only and drops what has been reached, as a recursive UNION does, so that cycles
     end. Rounds are written to the shared folder, which cuts the lineage; null nodes and edges reach nothing.
     """
+    spark = seeds.sparkSession
     known = edges.select("src", "dst").filter("src is not null and dst is not null").distinct()
-    frontier = materialise(seeds.select("node").filter("node is not null").distinct(), "frontier")
-    reached = frontier
-    for _ in range(most_rounds):
+    base = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}/reached"
+    kind = seeds.schema["node"].dataType.simpleString()
+
+    def written(nodes: DataFrame, number: int) -> DataFrame:
+        nodes.write.parquet(f"{base}/round={number}")
+        return spark.read.schema(f"node {kind}").parquet(f"{base}/round={number}")
+
+    frontier = written(seeds.select("node").filter("node is not null").distinct(), 0)
+    for number in range(1, most_rounds + 1):
+        reached = spark.read.schema(f"node {kind}, round int").parquet(base).select("node")
         step = frontier.join(known, frontier.node == known.src).select(F.col("dst").alias("node")).distinct()
-        frontier = materialise(step.join(reached, "node", "left_anti"), "frontier")
+        frontier = written(step.join(reached, "node", "left_anti"), number)
         if frontier.isEmpty():
             return reached
-        reached = materialise(reached.unionByName(frontier), "reached")
     raise RuntimeError(f"the closure did not end within {most_rounds} rounds")
 
 
