@@ -149,7 +149,7 @@ WITH lines AS (
   SELECT doc_id, coalesce(text, '') AS doc, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
          unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
 tokens AS (
-  SELECT doc_id, doc, pos, list_filter(string_split_regex(regexp_replace(line, '\S*[0-9]\S*', '<*>', 'g'), '\s+'), x -> x <> '') AS t FROM lines),
+  SELECT doc_id, doc, pos, list_filter(string_split_regex(regexp_replace(line, '\S*[0-9]\S*', '<*>', 'g'), '\s+'), lambda x: x <> '') AS t FROM lines),
 leaves AS (
   SELECT *, len(t) AS n, CAST(greatest(ceil((len(t) - 2) / 5.0), 1) AS BIGINT) AS w, CAST(len(t) AS VARCHAR) || ' ' || array_to_string(t[1:2], ' ') AS node,
          array_to_string(t, ' ') AS key FROM tokens WHERE len(t) > 0),
