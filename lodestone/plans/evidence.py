@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.engine import line_count
 from lodestone.functions import paths
 from lodestone.limits import Limits
-from lodestone.operators import diff, extract, link
+from lodestone.operators import diff, extract, link, pattern, syntax
+from lodestone.session import shared_dir
 from lodestone.sources import corpus
 from lodestone.sources.tables import table
 from lodestone.streaming import changes
@@ -183,3 +187,38 @@ def collapse_events(spark, sf_dir):
 @query("SELECT doc_id, CAST(CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN text LIKE '%' || chr(10) THEN 1 ELSE 0 END END AS BIGINT) AS lines FROM documents")
 def line_range_check(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", line_count(F.col("text")).cast("long").alias("lines"))
+
+
+@query(ORACLES["collapse_events"])
+def stream_collapse(spark, sf_dir):
+    """The same over a file stream: each micro-batch is collapsed into a folder, under a checkpoint, until drained."""
+    base = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    kind = F.when(F.col("event_type") == "error", "remove").otherwise("modify")
+    arrived = stream.select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("path"), kind.alias("kind"))
+    out = f"{base}/collapsed"
+    write = lambda df, n: changes.collapse(df).write.mode("overwrite").parquet(f"{out}/batch={n}")
+    arrived.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    batches = spark.read.schema("path string, change string, seq bigint").parquet(f"{out}/*")
+    return batches.groupBy("path").agg(F.max_by("change", "seq").alias("change"), F.max("seq").alias("seq"))
+
+
+@query("""WITH m AS (SELECT unnest(regexp_extract_all(regexp_replace(html, '<script>.*?</script>|<style>.*?</style>|<!--.*?-->', '', 'gs'), '<([a-zA-Z][a-zA-Z0-9]*)[ >/]', 1)) AS tag FROM pages
+UNION ALL SELECT unnest(regexp_extract_all(html, '<(script|style)>', 1)) FROM pages) SELECT lower(tag) AS tag, count(*) AS n FROM m GROUP BY 1""")
+def structure_matches(spark, sf_dir):
+    """Captures of a tree pattern over every page, by their text."""
+    text = "(element name: (tag_name) @tag)"
+
+    def run(batches):
+        parts = pattern.compile_pattern(text)
+        for batch in batches:
+            trees = [syntax.parse("html", html or "") for html in batch["html"]]
+            yield pd.DataFrame({"tag": [tree.source.slice(node).lower() for tree in trees for _, node in pattern.matches(parts, tree)]})
+
+    return table(spark, sf_dir, "pages").select("html").mapInPandas(run, "tag string").groupBy("tag").agg(F.count("*").alias("n"))
+
+
+@query("SELECT table_name, column_name FROM information_schema.columns WHERE table_name IN ('documents', 'pages', 'labels', 'lineitem')")
+def catalog_columns(spark, sf_dir):
+    names = ["documents", "pages", "labels", "lineitem"]
+    return spark.createDataFrame([(t, c) for t in names for c in table(spark, sf_dir, t).columns], "table_name string, column_name string")
