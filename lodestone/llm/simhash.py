@@ -119,28 +119,21 @@ def near_pairs(distinct: DataFrame, radius: int = RADIUS, small_cell: int = SMAL
         .filter(coordinate_gap(F.col("a"), F.col("b")) <= radius)
         .filter(distance(F.col("a"), F.col("b")) <= radius)
     )
-    flips = [signed(1 << k) for k in range(64)]
-    one = F.col("fp")
-    reach = [one] + ([one.bitwiseXOR(F.lit(x).cast("long")) for x in flips] if radius == 2 else [])
-    hubs = (
-        crowded.filter(F.col("members") > small_cell)
-        .select("fp")
-        .distinct()
-        .select("fp", F.explode(F.array(*reach)).alias("hub"))
-        .groupBy("hub")
-        .agg(F.sort_array(F.collect_list("fp")).alias("fps"))
-        .filter(F.size("fps") > 1)
-        .select(F.element_at("fps", 1).alias("b"), F.explode(F.slice("fps", 2, 64)).alias("a"))
-    )
-    if radius < 2:
-        hubs = _one_bit(crowded.filter(F.col("members") > small_cell).select("fp").distinct(), flips) if radius == 1 else hubs.limit(0)
-    return pairs.select("a", "b").unionByName(hubs.select("a", "b")).distinct()
+    large = crowded.filter(F.col("members") > small_cell).select("fp").distinct()
+    return pairs.select("a", "b").unionByName(_exact_links(large, radius)).distinct()
 
 
-def _one_bit(fps: DataFrame, flips: list[int]) -> DataFrame:
-    one = F.col("fp")
-    near = fps.select(F.col("fp").alias("a"), F.explode(F.array(*[one.bitwiseXOR(F.lit(x).cast("long")) for x in flips])).alias("b"))
-    return near.join(fps.select(F.col("fp").alias("b")), "b", "left_semi").filter("a > b")
+def _exact_links(fps: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) that connect all of fps within radius, without listing pairs."""
+    fp = F.col("fp")
+    near = F.array(*[fp.bitwiseXOR(F.lit(signed(1 << k)).cast("long")) for k in range(64)])
+    if radius == 0:
+        return fps.select(fp.alias("a"), fp.alias("b")).limit(0)
+    if radius == 1:
+        flipped = fps.select(fp.alias("a"), F.explode(near).alias("b"))
+        return flipped.filter("a > b").join(fps.select(fp.alias("b")), "b", "left_semi").select("a", "b")
+    hubs = fps.select("fp", F.explode(F.array_append(near, fp)).alias("hub")).groupBy("hub").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
+    return hubs.filter(F.size("fps") > 1).select(F.explode(F.slice("fps", 2, 64)).alias("a"), F.element_at("fps", 1).alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:

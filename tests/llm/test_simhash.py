@@ -63,9 +63,9 @@ def test_links_match_brute_force(spark):
     rows = spark.createDataFrame([(S.signed(f),) for f in set(fps)], "fp bigint")
     from lodestone.llm.components import connected_components
 
-    for small in (24, 2, 10_000):
-        found = {r.node: r.root for r in connected_components(S.near_pairs(rows, small_cell=small)).collect()}
-        want = components([(S.signed(f), S.signed(f) & (2**64 - 1)) for f in set(fps)])
+    for small, radius in ((24, 2), (2, 2), (10_000, 2), (2, 1), (2, 0)):
+        found = {r.node: r.root for r in connected_components(S.near_pairs(rows, radius, small)).collect()}
+        want = components([(S.signed(f), S.signed(f) & (2**64 - 1)) for f in set(fps)], radius)
         groups = defaultdict(set)
         for d, _, c in want:
             groups[c].add(d)
