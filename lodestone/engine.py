@@ -10,24 +10,29 @@ from collections.abc import Callable
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone import query as guarded
 from lodestone.limits import DEFAULT, Limits
 from lodestone.operators import diff, extract, link, pattern, syntax
+from lodestone.operators.numbering import numbered
 from lodestone.schema import HASH_ALGORITHM, INTERNAL, TABLES
 from lodestone.session import materialise
 from lodestone.sources import corpus
 from lodestone.sources.ignore import MARKER_DIR
 from lodestone.store import Pointer, StaleBaseline, Store
-from lodestone.streaming.changes import DESYNCED, HEALTHY, Watch, until_quiet
+from lodestone.streaming.changes import DESYNCED, HEALTHY, Watch, drain, until_quiet
 
 
 class TimeBudgetExceeded(RuntimeError):
     pass
 
 
+class ChangedDuringSample(RuntimeError):
+    """A file changed between its reading and the publish; tried again."""
+
+
 class SnapshotChanged(RuntimeError):
     """The revision changed while a verb read it."""
 
@@ -68,6 +73,8 @@ class Engine:
 
     def __post_init__(self) -> None:
         self.root = os.path.realpath(self.root)
+        if os.path.islink(os.path.join(self.root, MARKER_DIR)):
+            raise PermissionError(f"{MARKER_DIR} in {self.root} is a link")
         self.store = Store(self.spark, os.path.join(self.root, MARKER_DIR))
         self._slots = threading.BoundedSemaphore(self.limits.concurrent_calls)
 
@@ -106,6 +113,11 @@ class Engine:
         if not self.store.exists():
             raise LookupError(f"no corpus is enabled at {self.root}")
         self.store.purge_findings(self.session_id)
+        if not self._readable():
+            self.progress("rebuild")
+            self.store.drop()
+            self.store.create(self.root)
+            self.watch.health = DESYNCED
         until = time.monotonic() + self.limits.sync_seconds
         try:
             if not self.watch.trusted() or self.store.current() is None:
@@ -119,6 +131,25 @@ class Engine:
         assert found is not None
         return found
 
+    def _readable(self) -> bool:
+        """Whether the current revision's tables open; a store that doesn't is rebuilt from the corpus."""
+        try:
+            pointer = self.store.current()
+            for name in ("files", "evidence", "dependency_edges") if pointer else ():
+                self.store.read(name, pointer).head(1)
+            return True
+        except Exception:  # noqa: BLE001  whatever makes it unreadable
+            return False
+
+    def consume(self, source: str, checkpoint: str) -> None:
+        """Take what an event folder holds into the pending changes; offsets are kept by the checkpoint."""
+
+        def apply(changes: DataFrame, _: int) -> None:
+            for r in changes.orderBy("seq").toLocalIterator():
+                self.watch.record(r.path, "remove" if r.change == "deleted" else "modify")
+
+        drain(self.spark, source, checkpoint, apply)
+
     def publish(self, until: float | None = None) -> PublishReport:
         """Full verification: list, hash, compare, extract what changed, one revision. Retried if another got ahead."""
         until = until or time.monotonic() + self.limits.sync_seconds
@@ -127,7 +158,7 @@ class Engine:
             try:
                 report = self._publish(None, until)
                 break
-            except StaleBaseline:
+            except (StaleBaseline, ChangedDuringSample):
                 if attempt == self.limits.publish_retries:
                     raise
         self.watch.acknowledge(upto)
@@ -185,19 +216,29 @@ class Engine:
         tables = self._tables(baseline, old, analyzed, changes)
         manifest = diff.manifest_hash(tables["files"]).first().manifest_hash
         self.before_publish()
+        self._revalidate(raw, wanted)
         self._deadline(until)
         self.progress("publish")
         pointer = self.store.publish(baseline, tables, manifest, self.pack)
         self._invalidate(pointer)
         return PublishReport(pointer.revision_id, counts["added"], counts["modified"], counts["deleted"], counts["unchanged"], skipped)
 
+    def _revalidate(self, raw: DataFrame, wanted: DataFrame) -> None:
+        """Read the files to publish again; ChangedDuringSample if one isn't what it was."""
+        read = raw.filter("skip is null").join(wanted, "path", "left_semi").select("path", F.sha2("bytes", 256).alias("was"))
+        sizes = [(r.path, 0) for r in read.select("path").collect()]
+        again = corpus.read_files(self.spark, self.root, sizes, self.limits.max_file_bytes).select("path", F.sha2("bytes", 256).alias("now"))
+        changed = read.join(again, "path", "left").filter(~F.col("was").eqNullSafe(F.col("now"))).select("path").head(1)
+        if changed:
+            raise ChangedDuringSample(changed[0].path)
+
     def _tables(self, baseline: Pointer | None, old: DataFrame, analyzed: DataFrame, changes: DataFrame) -> dict[str, DataFrame]:
         """The tables of the next revision: the last one's rows without what is touched, and the new rows. A path keeps its id."""
         number = (baseline.id if baseline else 0) + 1
         touched = changes.select("path").unionByName(analyzed.select("path")).distinct()
         top = old.agg(F.max("id")).first()[0] or 0
         ids = analyzed.select("path").join(old.select("path", "id"), "path", "left")
-        fresh = ids.filter("id is null").select("path", (F.row_number().over(Window.orderBy("path")) + top).cast("long").alias("id"))
+        fresh = numbered(ids.filter("id is null").select("path"), "path", "id", top + 1)
         ids = ids.filter("id is not null").unionByName(fresh)
         files = analyzed.join(ids, "path").select(
             "id", "path", "file_kind", "content", "content_hash", F.lit(HASH_ALGORITHM).alias("hash_algorithm"), "byte_len", F.lit(None).cast("long").alias("modified_unix_seconds"), "language",

@@ -86,7 +86,8 @@ class Store:
         numbers = [int(n[:-5]) for n in os.listdir(self._path("_revisions")) if n.endswith(".json")] if os.path.isdir(self._path("_revisions")) else []
         if not numbers:
             return None
-        found = json.load(open(self._path("_revisions", f"{max(numbers)}.json")))
+        with open(self._path("_revisions", f"{max(numbers)}.json")) as f:
+            found = json.load(f)
         if found.get("schema_version", 1) > SCHEMA_VERSION:
             raise ValueError(f"schema version {found['schema_version']} is newer than {SCHEMA_VERSION}")
         return Pointer(**{"schema_version": 1} | found)

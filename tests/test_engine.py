@@ -125,6 +125,49 @@ def test_race_is_retried_and_a_baseline_is_checked(engine, spark):
     assert other.report()["file_count"] == 14
 
 
+def test_a_damaged_store_is_rebuilt_and_events_are_consumed(engine, spark, tmp_path_factory):
+    import glob
+    import os
+
+    engine.project_control("on")
+    for f in glob.glob(f"{engine.store.root}/data/*/files/*.parquet"):
+        os.unlink(f)
+        open(f, "w").write("damaged")
+    assert engine.report()["file_count"] == 12
+    events = str(tmp_path_factory.mktemp("events") / "log")
+    open(f"{engine.root}/pkg/c.py", "w").write("c = 1\n")
+    os.unlink(f"{engine.root}/pkg/a.py")
+    spark.createDataFrame([(1, "pkg/c.py", "create"), (2, "pkg/a.py", "modify"), (3, "pkg/a.py", "remove")], C.EVENTS).write.parquet(events)
+    engine.consume(events, events + "-check")
+    assert engine.health()["pending_dirty"] == 1 and engine.health()["pending_deleted"] == 1
+    paths = {r["path"] for r in engine.query("SELECT path FROM files").rows}
+    assert "pkg/c.py" in paths and "pkg/a.py" not in paths
+
+
+def test_a_file_that_changes_while_it_is_read_is_read_again(engine):
+    engine.project_control("on")
+    left = [1]
+
+    def meddle():
+        if left:
+            left.pop()
+            open(f"{engine.root}/pkg/b.py", "a").write("\nz = 9\n")
+
+    open(f"{engine.root}/pkg/b.py", "a").write("\ny = 8\n")
+    engine.before_publish = meddle
+    engine.publish()
+    assert "z = 9" in engine.query("SELECT content FROM files WHERE path = 'pkg/b.py'").rows[0]["content"]
+
+
+def test_numbers_are_consecutive(spark):
+    from lodestone.operators.numbering import numbered
+
+    df = spark.range(1000).selectExpr("concat('p', id) as path").repartition(7)
+    rows = sorted((r.path, r.n) for r in numbered(df, "path", "n", 5).collect())
+    assert [n for _, n in rows] == list(range(5, 1005))
+    assert numbered(df.limit(0), "path", "n").count() == 0
+
+
 def test_paging_keeps_to_the_byte_limit():
     rows = [{"x": "y" * 100}] * 10
     page = Q.shrunk(rows, False, 7, "rev-1", Limits(query_response_bytes=256 + 350))
