@@ -141,7 +141,9 @@ class Items:
             return []
         s, h = shingles(text)
         hits = np.flatnonzero(self.seen[(s >> np.uint64(64 - _SEEN_BITS)).astype(np.int64)])
-        hits = hits[np.isin(s[hits], self.all)]
+        if len(hits):
+            at = np.minimum(np.searchsorted(self.all, s[hits]), len(self.all) - 1)
+            hits = hits[self.all[at] == s[hits]]
         best: dict[int, tuple[float, int]] = {}
         reach = int(self.sizes.max())
         for lo, hi in regions(hits, reach, len(s)):
