@@ -28,7 +28,7 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", 0.6, r"\bip\b|host|server|address|adresse|login"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", 0.6, r"card|visa|master|credit|karte|tarjeta|carte|pay"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.6, r"tel|phone|call|fax|mobil|anruf|llam|appel"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", 0.7, r"iban|bank|konto|account|cuenta|compte", is_base=False),
+    Kind("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b", 0.7, r"iban|bank|konto|account|cuenta|compte", is_base=False),
 )
 #: Characters before a span in which context words count.
 CONTEXT = 48

@@ -168,3 +168,30 @@ marked AS (
   FROM lines l LEFT JOIN drops d ON l.doc_id = d.doc_id AND l.pos = d.pos GROUP BY l.doc_id)
 SELECT doc_id, n_lines, n_dropped, dropped, kept_sha256 FROM marked
 """
+
+ORACLES["op8_pii"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS (
+  SELECT doc_id, 'email' AS kind, 1 AS place, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS m, regexp_split_to_array(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS g FROM d
+  UNION ALL SELECT doc_id, 'ip', 2, regexp_extract_all(t, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'), regexp_split_to_array(t, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)') FROM d
+  UNION ALL SELECT doc_id, 'card', 3, regexp_extract_all(t, '[0-9](?:[ -]?[0-9])+'), regexp_split_to_array(t, '[0-9](?:[ -]?[0-9])+') FROM d
+  UNION ALL SELECT doc_id, 'phone', 4, regexp_extract_all(t, '\+[0-9][ ().0-9-]+[0-9]'), regexp_split_to_array(t, '\+[0-9][ ().0-9-]+[0-9]') FROM d
+  UNION ALL SELECT doc_id, 'iban', 5, regexp_extract_all(t, '\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b'), regexp_split_to_array(t, '\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b') FROM d),
+each AS (SELECT doc_id, kind, place, m, g, unnest(range(1, len(m) + 1)) AS i FROM found),
+placed AS (
+  SELECT doc_id, kind, place, m[i] AS s, regexp_replace(m[i], '[^0-9]', '', 'g') AS digits, replace(m[i], ' ', '') AS bare,
+         CAST(sum(length(m[i]) + length(g[i])) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS stop FROM each),
+kept AS (
+  SELECT doc_id, kind, place, stop - length(s) AS start, stop FROM placed WHERE CASE kind
+    WHEN 'email' THEN TRUE
+    WHEN 'ip' THEN len(list_filter(string_split(s, '.'), lambda x: length(ltrim(x, '0')) > 3 OR CAST(right(x, 3) AS INTEGER) > 255)) = 0
+    WHEN 'phone' THEN length(digits) BETWEEN 8 AND 15
+    WHEN 'card' THEN length(digits) BETWEEN 16 AND 19 AND list_sum(list_transform(string_split(reverse(digits), ''), lambda c, i:
+      CASE WHEN i % 2 = 1 THEN CAST(c AS INTEGER) ELSE (CAST(c AS INTEGER) * 2) % 10 + CASE WHEN CAST(c AS INTEGER) > 4 THEN 1 ELSE 0 END END)) % 10 = 0
+    ELSE length(bare) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, list_transform(string_split(bare[5:] || bare[1:4], ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)),
+      lambda a, x: (a * CASE WHEN x < 10 THEN 10 ELSE 100 END + x) % 97) = 1 END)
+SELECT d.doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+       sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY place, start) FILTER (place < 5), '')) AS base_sha256,
+       coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY place, start) FILTER (kind IS NOT NULL), '') AS spans
+FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id GROUP BY d.doc_id
+"""
