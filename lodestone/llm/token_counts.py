@@ -103,6 +103,19 @@ def piece_table(docs: DataFrame, model_path: str, text_col: str = "text") -> Dat
     return seen.groupBy("pre_token").agg(F.sum("docs").alias("docs")).mapInArrow(encode, "pre_token string, docs bigint, pieces bigint")
 
 
+def most_common(table: DataFrame, most: int) -> DataFrame:
+    """The rows of the most frequent pre-tokens, at most `most`: all above a document frequency, which a histogram
+    over quarter powers of two (a few hundred rows) fixes, so that nothing is sorted or sent to the driver."""
+    step = F.floor(F.log2("docs") * 4)
+    least, held = None, 0
+    for r in sorted(table.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.step):
+        held += r.n
+        if held > most:
+            break
+        least = r.step
+    return table.filter(step >= least) if least is not None else table.limit(0)
+
+
 def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) per row of docs, without begin, end or added tokens; a null text is empty.
 
@@ -112,7 +125,7 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     """
     spark = docs.sparkSession
     table = materialise(piece_table(docs, model_path, text_col), "pieces")
-    top = table.filter(F.length("pre_token") <= HEAD_CHARS).orderBy(F.desc("docs"), "pre_token").limit(head)
+    top = most_common(table.filter(F.length("pre_token") <= HEAD_CHARS), head)
     common = spark.sparkContext.broadcast(dict(top.select("pre_token", "pieces").toPandas().itertuples(index=False, name=None)))
     kind = docs.schema[id_col].dataType
 
