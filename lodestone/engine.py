@@ -18,7 +18,7 @@ from lodestone.limits import DEFAULT, Limits
 from lodestone.operators import diff, extract, link, pattern, syntax
 from lodestone.operators.numbering import numbered
 from lodestone.schema import HASH_ALGORITHM, INTERNAL, TABLES
-from lodestone.session import materialise
+from lodestone.session import materialise, scratch
 from lodestone.sources import corpus
 from lodestone.sources.ignore import MARKER_DIR
 from lodestone.store import Pointer, StaleBaseline, Store
@@ -156,7 +156,8 @@ class Engine:
         for attempt in range(self.limits.publish_retries + 1):
             upto = self.watch.sequence
             try:
-                report = self._publish(None, until)
+                with scratch(self.spark):
+                    report = self._publish(None, until)
                 break
             except (StaleBaseline, ChangedDuringSample):
                 if attempt == self.limits.publish_retries:
@@ -172,7 +173,8 @@ class Engine:
         upto, pending = self.watch.snapshot()
         if not pending:
             return False
-        self._publish(pending, until)
+        with scratch(self.spark):
+            self._publish(pending, until)
         self.watch.acknowledge(upto)
         self.watch.full_publishes = 0
         self.last_sync = int(time.time())

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.session import shared_dir
+from lodestone.session import scratch_path
 
 
 def transitive_closure(edges: DataFrame, seeds: DataFrame, most_rounds: int = 10_000) -> DataFrame:
@@ -18,7 +16,7 @@ def transitive_closure(edges: DataFrame, seeds: DataFrame, most_rounds: int = 10
     """
     spark = seeds.sparkSession
     known = edges.select("src", "dst").filter("src is not null and dst is not null").distinct()
-    base = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}/reached"
+    base = scratch_path(spark, "reached")
     kind = seeds.schema["node"].dataType.simpleString()
 
     def written(nodes: DataFrame, number: int) -> DataFrame:

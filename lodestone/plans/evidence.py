@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +10,7 @@ from lodestone.engine import line_count
 from lodestone.functions import paths
 from lodestone.limits import Limits
 from lodestone.operators import diff, extract, link, pattern, syntax
-from lodestone.session import shared_dir
+from lodestone.session import scratch_path
 from lodestone.sources import corpus
 from lodestone.sources.tables import table
 from lodestone.streaming import changes
@@ -192,7 +190,7 @@ def line_range_check(spark, sf_dir):
 @query(ORACLES["collapse_events"])
 def stream_collapse(spark, sf_dir):
     """The same over a file stream: each micro-batch is collapsed into a folder, under a checkpoint, until drained."""
-    base = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}"
+    base = scratch_path(spark, "stream")
     stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
     kind = F.when(F.col("event_type") == "error", "remove").otherwise("modify")
     arrived = stream.select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("path"), kind.alias("kind"))

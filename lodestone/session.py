@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,9 +35,57 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_made = threading.local()
+
+
+def _paths() -> list[str]:
+    if not hasattr(_made, "paths"):
+        _made.paths = []
+    return _made.paths
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh place in the shared folder, which `scratch` and `discard_all` remove."""
+    folder = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}"
+    _paths().append(folder)
+    return f"{folder}/{name}"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}/{name}.parquet"
+    path = scratch_path(spark, f"{name}.parquet")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._scratch = path.rsplit("/", 1)[0]
+    return found
+
+
+def discard(df: DataFrame) -> None:
+    """Removes what `materialise` wrote for df, which nothing may read any more."""
+    if getattr(df, "_scratch", None):
+        _remove(df.sparkSession, [df._scratch])
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    for p in paths:
+        place = jvm.org.apache.hadoop.fs.Path(p)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes what this thread materialises within; results must have been read or written by then."""
+    mark = len(_paths())
+    try:
+        yield
+    finally:
+        _remove(spark, _paths()[mark:])
+        del _paths()[mark:]
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Removes all that this thread has materialised so far; results that still read it are lost."""
+    _remove(spark, _paths())
+    _paths().clear()
