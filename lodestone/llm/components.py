@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.session import materialise
+from lodestone.session import discard, materialise
 
 
 def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -26,7 +26,8 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = materialise(small.unionByName(least.withColumnRenamed("m", "b")).filter("a != b").distinct(), "links")
+        before, now = now, materialise(small.unionByName(least.withColumnRenamed("m", "b")).filter("a != b").distinct(), "links")
+        discard(before)
     else:
         raise RuntimeError("components did not settle")
     stars = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
