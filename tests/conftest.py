@@ -10,6 +10,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from lodestone.session import local_session
 
-    session = local_session(8)
+    session = local_session(8, **{"spark.sql.shuffle.partitions": "4"})
     yield session
     session.stop()
