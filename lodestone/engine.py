@@ -18,7 +18,7 @@ from lodestone.limits import DEFAULT, Limits
 from lodestone.operators import diff, extract, link, pattern, syntax
 from lodestone.operators.numbering import numbered
 from lodestone.schema import HASH_ALGORITHM, INTERNAL, TABLES
-from lodestone.session import materialise, scratch
+from lodestone.session import materialise, scratch, ship
 from lodestone.sources import corpus
 from lodestone.sources.ignore import MARKER_DIR
 from lodestone.store import Pointer, StaleBaseline, Store
@@ -75,6 +75,7 @@ class Engine:
         self.root = os.path.realpath(self.root)
         if os.path.islink(os.path.join(self.root, MARKER_DIR)):
             raise PermissionError(f"{MARKER_DIR} in {self.root} is a link")
+        ship(self.spark)
         self.store = Store(self.spark, os.path.join(self.root, MARKER_DIR))
         self._slots = threading.BoundedSemaphore(self.limits.concurrent_calls)
 
