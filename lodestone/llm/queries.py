@@ -195,3 +195,32 @@ SELECT d.doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (k
        coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY place, start) FILTER (kind IS NOT NULL), '') AS spans
 FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id GROUP BY d.doc_id
 """
+
+
+ORACLES["op2_chat_format"] = r"""
+WITH RECURSIVE rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+turns AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, 4 + (strlen(text) + 3) // 4 AS tokens,
+         18 + length(text) + len(regexp_extract_all(text, '<\\*\|')) + length(role) + len(regexp_extract_all(role, '<\\*\|')) + 2 * len(regexp_extract_all(role, '%|\|>')) AS chars FROM rows),
+digests AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+         CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+         coalesce(max(tokens) FILTER (i = 1 AND role = 'system'), 0) AS sys_tokens, coalesce(max(chars) FILTER (i = 1 AND role = 'system'), 0) AS sys_chars,
+         list(tokens ORDER BY i) FILTER (NOT (i = 1 AND role = 'system')) AS t, list(chars ORDER BY i) FILTER (NOT (i = 1 AND role = 'system')) AS c FROM turns GROUP BY conv_id),
+sums AS (
+  SELECT conv_id, 2048 - sys_tokens AS room, sys_chars, coalesce(len(t), 0) AS m, t,
+         list_transform(range(0, coalesce(len(t), 0) + 1), lambda k: CAST(coalesce(list_sum(t[1:k]), 0) AS BIGINT)) AS s,
+         list_transform(range(0, coalesce(len(t), 0) + 1), lambda k: CAST(coalesce(list_sum(c[1:k]), 0) AS BIGINT)) AS z FROM digests),
+windows AS (
+  SELECT conv_id, CAST(1 AS BIGINT) AS a, CAST(1 AS BIGINT) AS f,
+         coalesce(list_filter(range(2, m + 1), lambda p: s[p + 1] > room)[1], m + 1) AS g FROM sums
+  UNION ALL
+  SELECT conv_id, a, f, coalesce(list_filter(range(f + 1, m + 1), lambda p: s[p + 1] - s[a] > room)[1], m + 1) AS g FROM (
+    SELECT w.conv_id, list_filter(range(w.a, w.g + 1), lambda k: s[w.g] - s[k] <= greatest(0, least(room - t[w.g], 512)))[1] AS a, w.g AS f, m, s, room
+    FROM windows w JOIN sums USING (conv_id) WHERE w.g <= m)),
+totals AS (
+  SELECT conv_id, CAST(sum(sys_chars + z[g] - z[a]) AS BIGINT) AS formatted_chars, count(*) AS n_windows FROM windows JOIN sums USING (conv_id) GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_windows FROM digests JOIN totals USING (conv_id)
+"""
