@@ -99,11 +99,12 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
     nothing = Machine(np.zeros(0, np.int32), prior, np.zeros(0), np.zeros((0, FACTORS)))
     if not len(y) or y.min() == y.max():
         return nothing
-    lengths = np.array([len(r) for r in rows])
-    ids = np.concatenate(rows).astype(np.int64)
-    owner = np.repeat(np.arange(len(rows)), lengths)
-    df = np.bincount(ids, minlength=1 << BITS)
-    pos = np.bincount(ids, weights=y[owner], minlength=1 << BITS)
+    # counted and cut down in parts, so that the driver never holds all terms of all rows twice
+    df, pos = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    for a in range(0, len(rows), BATCH):
+        df += np.bincount(np.concatenate(rows[a : a + BATCH]), minlength=1 << BITS)
+        if toxic := [r for r, t in zip(rows[a : a + BATCH], y[a : a + BATCH], strict=True) if t]:
+            pos += np.bincount(np.concatenate(toxic), minlength=1 << BITS)
     share = df / len(y)
     lift = (pos - df * y.mean()) / np.sqrt(np.maximum(df * y.mean() * (1 - y.mean()) * (1 - share), 1e-9))
     lift[df < LEAST_ROWS] = 0
@@ -111,11 +112,11 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
     kept = kept[np.abs(lift[kept]) > 2]
     if not len(kept):
         return nothing
-    slot = np.full(1 << BITS, -1)
+    slot = np.full(1 << BITS, -1, np.int32)
     slot[kept] = np.arange(len(kept))
-    ok = slot[ids] >= 0
-    cols, owner = slot[ids[ok]], owner[ok]
-    starts = np.searchsorted(owner, np.arange(len(rows) + 1))
+    found = [s[s >= 0] for s in (slot[r] for r in rows)]
+    starts = np.concatenate(([0], np.cumsum([len(s) for s in found])))
+    cols = np.concatenate(found)
     rng = np.random.default_rng(seed)
     m = len(kept)
     theta = np.concatenate((np.zeros((m, 1)), rng.normal(0, 0.02, (m, FACTORS))), axis=1)
