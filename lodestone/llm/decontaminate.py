@@ -96,6 +96,10 @@ class Items:
         self.weight = {x: w for _, s, h in found for x, w in zip(s.tolist(), weights(h).tolist(), strict=True)}
         self.totals = [sum(self.weight[x] * n for x, n in c.items()) for c in self.counts]
         self.all = np.array(sorted(self.weight), np.uint64)
+        #: Items of the shingle at k of all: owners[starts[k]:starts[k + 1]].
+        place = np.concatenate([np.searchsorted(self.all, np.unique(s)) for _, s, _ in found]) if found else np.zeros(0, np.int64)
+        self.owners = np.repeat(np.arange(len(found)), [len(c) for c in self.counts]).astype(np.int32)[np.argsort(place, kind="stable")]
+        self.starts = np.concatenate(([0], np.cumsum(np.bincount(place, minlength=len(self.all)))))
         self.seen = np.zeros(1 << _SEEN_BITS, bool)
         self.seen[(self.all >> np.uint64(64 - _SEEN_BITS)).astype(np.int64)] = True
         self.prints = np.array([window_prints(s, len(s))[0] for _, s, _ in found], np.uint64)
@@ -135,7 +139,7 @@ class Items:
         """(item, similarity, first word, words) of the best window of each item found in the text.
 
         A window without any shingle of any item has similarity 0; only windows that touch one are
-        fingerprinted, in each size that an item has.
+        fingerprinted, in each size that an item has. For items longer than the text, the text is the window.
         """
         if not self.ids:
             return []
@@ -143,8 +147,14 @@ class Items:
         hits = np.flatnonzero(self.seen[(s >> np.uint64(64 - _SEEN_BITS)).astype(np.int64)])
         if len(hits):
             at = np.minimum(np.searchsorted(self.all, s[hits]), len(self.all) - 1)
-            hits = hits[self.all[at] == s[hits]]
+            known = self.all[at] == s[hits]
+            hits, at = hits[known], at[known]
         best: dict[int, tuple[float, int]] = {}
+        if len(hits) and len(s) < self.sizes.max():
+            total = float(weights(h).sum())
+            for k in np.unique(np.concatenate([self.owners[self.starts[x] : self.starts[x + 1]] for x in np.unique(at)])).tolist():
+                if self.sizes[k] > len(s) and (similarity := self.similarity(s, total, k)) >= self.threshold - 1e-9:
+                    best[k] = (similarity, 0)
         reach = int(self.sizes.max())
         for lo, hi in regions(hits, reach, len(s)):
             part = s[lo:hi]
@@ -158,7 +168,7 @@ class Items:
                     similarity = self.similarity(part[p : p + size], weighed[p + size] - weighed[p], k)
                     if similarity >= self.threshold - 1e-9 and similarity > best.get(k, (0.0, 0))[0]:
                         best[k] = (similarity, lo + p)
-        return [(k, sim, at, int(self.sizes[k]) + SHINGLE - 1) for k, (sim, at) in sorted(best.items())]
+        return [(k, sim, at, min(int(self.sizes[k]), len(s)) + SHINGLE - 1) for k, (sim, at) in sorted(best.items())]
 
 
 def regions(hits: np.ndarray, reach: int, total: int) -> list[tuple[int, int]]:

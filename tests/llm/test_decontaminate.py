@@ -80,3 +80,25 @@ def test_multi_index_finds_all_within_radius():
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame([], "item_id bigint, text string")
     assert D.leaks(docs, items).count() == 0 and D.drop_contaminated(docs, items).count() == 0
+
+
+def test_documents_shorter_than_an_item_match_brute_force(spark):
+    rng = random.Random(9)
+    items = [(i, " ".join(rng.choice(["the", "of", f"w{rng.randrange(40)}"]) for _ in range(rng.randrange(12, 60)))) for i in range(30)]
+    items.append((40, " ".join([*(f"v{k}" for k in range(20)), *["a"] * 8])))
+    docs = [(k * 100 + cut, " ".join(t.split()[: -cut or None] if cut % 2 else t.split()[cut:])) for k, (_, t) in enumerate(items) for cut in range(9)]
+    weight = lambda x: len(set(x)) / 5
+    want = brute(docs, items)
+    for d, t in docs:
+        for i, it in items:
+            a, b = sh(words(t)), sh(words(it))
+            if 0 < sum(a.values()) < sum(b.values()):
+                both = sum(min(n, b[x]) * weight(x) for x, n in a.items())
+                every = sum(n * weight(x) for x, n in [*a.items(), *b.items()]) - both
+                if both / every >= 0.8 - 1e-9:
+                    want[d, i] = both / every
+    short = {(d, i) for d, i in want if len(words(dict(docs)[d])) < len(words(dict(items)[i]))}
+    assert len(short) > 50
+    got = {(r.doc_id, r.item_id): r for r in D.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert set(got) <= set(want) and short <= set(got)
+    assert all(abs(got[k].similarity - want[k]) < 1e-9 and got[k].words == len(words(dict(docs)[k[0]])) for k in short)
