@@ -167,25 +167,13 @@ def hex_digits(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component: one of its smallest id, or of a null id where it has no other.
+    """docs with one row of each component: the one with the smallest id, null ids last.
 
-    Rows that repeat that id keep the one whose text has the smallest hash. All columns stay as they are.
+    Of rows that repeat that id in the component, the one whose text has the smallest hash. All columns stay as they are.
     """
-    columns = docs.columns
-    found = near_duplicates(docs.select("doc_id", "text"), radius=radius)
-    chosen = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), "fp")
-    # of the rows with the component's id, one text; rows without id are told apart by their text's hash
-    marks = docs.select(F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_mark"))
-    named = chosen.filter("_id is not null").select("_id").distinct().join(marks, "_id").groupBy("_id").agg(F.min("_mark").alias("_mark"))
-    nameless = _first_without_id(docs, chosen.filter("_id is null").select("fp").distinct())
-    both = named.unionByName(nameless).withColumnRenamed("_mark", "_least")
-    held = docs.withColumn("_mark", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = held.join(both, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_least")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_mark"]).select(*columns)
-
-
-def _first_without_id(docs: DataFrame, fps: DataFrame) -> DataFrame:
-    """(_id, _mark) of one text of each of these fingerprints among the rows without id."""
-    loose = docs.filter("doc_id is null").select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_id"), "text")
-    first = fingerprints(loose).join(fps, "fp").groupBy("fp").agg(F.min("doc_id").alias("_mark"))
-    return first.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("_id"), "_mark")
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    row = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), mark.alias("mark"))
+    found = near_duplicates(docs.select(row.alias("doc_id"), "text"), radius=radius).select("component_id").distinct()
+    chosen = found.select(F.col("component_id.id").alias("_id"), F.col("component_id.mark").alias("_least"))
+    kept = docs.withColumn("_mark", mark).join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_least")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_mark"]).select(*docs.columns)
