@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lodestone.llm.rows import texts
+from lodestone.llm.rows import memo, slices, texts
 
 #: Words of a shingle, and the similarity from which a window counts as a copy of an item.
 SHINGLE = 5
@@ -25,8 +25,6 @@ RADIUS = 15
 HAMMING_BLOCKS = 4
 #: Items searched in one pass over the documents; more items take more passes.
 ITEMS_AT_ONCE = 5000
-#: Distinct words whose hashes a worker remembers.
-REMEMBER = 500_000
 #: Shingles of a document that are looked at together.
 CHUNK = 1 << 16
 
@@ -35,24 +33,13 @@ _P = np.uint64(0x9E3779B185EBCA87)
 _SEEN_BITS = 22
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBER:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word)
-        return found
-
-
-_words = _Words()
-
-
 def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the text's shingles, in order, and of its words: case folded, punctuation of ASCII taken as spaces."""
     words = text.casefold().encode("utf-8", "replace").translate(_PUNCT).split()
     total = len(words) - SHINGLE + 1
     if total < 1:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     s = h[:total].copy()
     for k in range(1, SHINGLE):
         s = s * _P + h[k : k + total]
@@ -197,6 +184,7 @@ def item_blocks(benchmark: DataFrame, at_once: int = ITEMS_AT_ONCE) -> Iterator[
 
 
 _last: list = [None, None]
+memo("decontamination", lambda: _last.__setitem__(slice(None), [None, None]))
 
 
 def built(items: list[tuple[object, str]]) -> Items:
@@ -221,7 +209,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, at_once: int = ITEMS_AT_ONCE) -
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items = built(sent.value)
-            for batch in batches:
+            for batch in slices("decontamination", batches, 1):
                 out = [(d, items.ids[k], sim, at, n) for d, t in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True) for k, sim, at, n in items.search(t)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
@@ -238,7 +226,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, at_once: int = ITEM
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items = built(sent.value)
-            for batch in batches:
+            for batch in slices("decontamination", batches, place):
                 yield batch.filter(pa.array([not items.search(t) for t in texts(batch.column(place))], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

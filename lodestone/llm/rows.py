@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -64,3 +67,46 @@ def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Record
     for batch in batches:
         yield at, batch
         at += batch.num_rows
+
+
+#: Rows, and bytes of text unless one row has more, that an operator turns into Python objects at once.
+ROWS, BYTES = 512, 2_000_000
+
+_owner: list[str | None] = [None]
+_memos: dict[str, list[Callable[[], None]]] = {}
+
+
+def memo(owner: str, clear: Callable[[], None]) -> None:
+    """Tells how to clear what `owner`'s operator remembers in a worker between tasks."""
+    _memos.setdefault(owner, []).append(clear)
+
+
+def trim() -> None:
+    """Hands freed memory back to the system, where the platform can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def slices(owner: str, batches: Iterator[pa.RecordBatch], place: int, rows: int = ROWS, size: int = BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches of one task of `owner`'s operator, cut by rows and by the bytes of the text column at `place`.
+
+    Python workers outlive operators: what another operator remembers in this one goes first, and freed memory is
+    handed back when the task is over, so that a worker holds one operator's tables at a time.
+    """
+    if _owner[0] != owner:
+        _owner[0] = owner
+        for clear in (c for other, clears in _memos.items() if other != owner for c in clears):
+            clear()
+        trim()
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right"))
+            upto = min(max(upto, at + 1), at + rows)
+            yield batch.slice(at, upto - at)
+            at = upto
+    trim()

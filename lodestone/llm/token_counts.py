@@ -13,7 +13,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.rows import numbered, texts
+from lodestone.llm.rows import memo, numbered, slices, texts
 from lodestone.session import materialise
 
 #: Most frequent pre-tokens that are sent to all tasks, and the longest that may be one: bounds the broadcast.
@@ -65,6 +65,7 @@ def count_pieces(model: sentencepiece.SentencePieceProcessor, tokens: list[str])
 
 
 _models: dict[str, sentencepiece.SentencePieceProcessor] = {}
+memo("token counts", _models.clear)
 
 
 def model_of(path: str) -> sentencepiece.SentencePieceProcessor:
@@ -84,7 +85,7 @@ def piece_table(docs: DataFrame, model_path: str, text_col: str = "text") -> Dat
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["pre_token", "docs"])
 
-        for batch in batches:
+        for batch in slices("token counts", batches, 0):
             for text in texts(batch.column(0)):
                 held.update(pre_tokens(text)[0].keys())
                 if len(held) > GATHER:
@@ -131,7 +132,7 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = common.value
-        for at, batch in numbered(batches):
+        for at, batch in numbered(slices("token counts", batches, 1)):
             sizes, sums, rare, freq, owner = [], [], [], [], []
             for k, text in enumerate(texts(batch.column(1))):
                 found, total = pre_tokens(text)

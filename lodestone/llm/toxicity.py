@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import string
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.rows import texts
+from lodestone.llm.rows import slices, texts
 
 #: Hash space of the terms.
 BITS = 20
@@ -32,44 +33,50 @@ RATE = 0.05
 DECAY = 2e-4
 #: Score from which a text counts as toxic.
 TOXIC = 0.7
-REMEMBER = 300_000
 
-_PUNCT = str.maketrans({c: " " for c in string.punctuation})
+_PUNCT = bytes(32 if chr(c) in string.punctuation else c for c in range(256))
 
 
-class _Terms:
-    """Term hashes of each word, remembered: a word, and its stems of some lengths."""
+def _hashes(words: Iterable[str], mark: str = "") -> np.ndarray:
+    return (np.fromiter((xxhash.xxh64_intdigest(w + mark, len(w) if mark else 0) for w in words), np.uint64) >> np.uint64(1)).astype(np.int64)
 
-    def __init__(self) -> None:
-        self.place: dict[str, int] = {}
-        self.table = np.zeros((1024, 1 + len(STEMS)), np.int64)
 
-    def places(self, words: list[str]) -> np.ndarray:
-        place = self.place
-        if len(place) > REMEMBER:
-            place.clear()
-        for w in set(words).difference(place):
-            k = len(place)
-            if k == len(self.table):
-                self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-            self.table[k] = [xxhash.xxh64_intdigest(w) >> 1] + [xxhash.xxh64_intdigest(w[:n] + "*", n) >> 1 if len(w) >= n else -1 for n in STEMS]
-            place[w] = k
-        return np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+def _stems(words: dict[str, int], size: int) -> np.ndarray:
+    """Hash of the first `size` characters of each word, -1 for shorter words; each stem is hashed once."""
+    cut = [w[:size] if len(w) >= size else "" for w in words]
+    place = dict(zip(dict.fromkeys(cut), count()))
+    found = _hashes(place, "*")
+    if "" in place:
+        found[place[""]] = -1
+    return found[np.fromiter(map(place.__getitem__, cut), np.int64, len(cut))]
 
 
-_terms = _Terms()
+def terms_of(rows: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, term) of the hashed terms of whole texts, each once a row, sorted: words and stems, once for each number
+    of TIMES that they reach. With wanted (a flag for each term) only those.
 
-
-def term_ids(text: str) -> np.ndarray:
-    """Sorted hashed terms of the whole text: words and stems, once for each number of TIMES that they reach."""
-    words = text.casefold().translate(_PUNCT).split()
-    if not words:
-        return np.zeros(0, np.int32)
-    places = _terms.places(words)
-    found = _terms.table[places].ravel()
-    ids, counts = np.unique(found[found >= 0], return_counts=True)
-    every = [(ids[counts >= n] * (2 * n + 1) >> np.int64(17)) & ((1 << BITS) - 1) for n in TIMES]
-    return np.unique(np.concatenate(every)).astype(np.int32)
+    Texts are taken together, so that each word is hashed once for all of them.
+    """
+    words = [t.casefold().encode().translate(_PUNCT).decode().split() for t in rows]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    flat = [w for some in words for w in some]
+    place = dict(zip(dict.fromkeys(flat), count()))
+    table = np.stack([_hashes(place), *(_stems(place, n) for n in STEMS)], axis=1)
+    known, local = np.unique(table, return_inverse=True)
+    slots = [(known * (2 * n + 1) >> np.int64(17)) & ((1 << BITS) - 1) for n in TIMES]
+    use = known >= 0
+    if wanted is not None:
+        use &= np.logical_or.reduce([wanted[s] for s in slots])
+    local = np.where(use[local], local, -1).reshape(table.shape)
+    found = local[np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))]
+    owner = np.repeat(np.arange(len(rows), dtype=np.int64), sizes)[:, None] * np.int64(len(known) + 1)
+    pairs, counts = np.unique((owner + found)[found >= 0], return_counts=True)
+    row, term = pairs // (len(known) + 1), pairs % (len(known) + 1)
+    every = np.unique(np.concatenate([row[counts >= n] << BITS | s[term[counts >= n]] for n, s in zip(TIMES, slots, strict=True)]))
+    row, term = every >> BITS, every & ((1 << BITS) - 1)
+    if wanted is not None:
+        row, term = row[wanted[term]], term[wanted[term]]
+    return row, term.astype(np.int32)
 
 
 @dataclass
@@ -88,8 +95,22 @@ class Machine:
         pairs = 0.5 * (np.square(v.sum(axis=0)).sum() - np.square(v).sum()) if len(at) else 0.0
         return float(self.bias + self.weights[at].sum() + pairs)
 
-    def score(self, text: str) -> float:
-        return float(1.0 / (1.0 + np.exp(-np.clip(self.raw(term_ids(text)), -30, 30))))
+    def wanted(self) -> np.ndarray:
+        """A flag for each hashed term: whether the machine knows it."""
+        found = np.zeros(1 << BITS, bool)
+        found[self.terms] = True
+        return found
+
+    def scores(self, rows: list[str], wanted: np.ndarray) -> np.ndarray:
+        """Scores of texts; wanted as above, which the caller holds over batches."""
+        row, term = terms_of(rows, wanted)
+        at = np.searchsorted(self.terms, term)
+        sums = lambda x: np.bincount(row, weights=x, minlength=len(rows))
+        factors = self.factors[at]
+        raw = self.bias + sums(self.weights[at]) - 0.5 * sums(np.square(factors).sum(axis=1))
+        for k in range(factors.shape[1]):
+            raw = raw + 0.5 * np.square(sums(factors[:, k]))
+        return 1.0 / (1.0 + np.exp(-np.clip(raw, -30, 30)))
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
@@ -163,8 +184,9 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS) -> Ma
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [term_ids(t).tobytes() for t in texts(b.column(1))]
+        for b in slices("toxicity", batches, 1):
+            row, term = terms_of(texts(b.column(1)))
+            found = [x.tobytes() for x in np.split(term, np.searchsorted(row, np.arange(1, b.num_rows)))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary()), b.column(2)], names=["doc_id", "ids", "toxic"])
 
     kinds = docs.schema["doc_id"].dataType.simpleString(), labels.schema["toxic"].dataType.simpleString()
@@ -180,20 +202,25 @@ def scored(docs: DataFrame, model: Machine) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [sent.value.score(t) for t in texts(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64())], names=["doc_id", "score"])
+        wanted = sent.value.wanted()
+        for b in slices("toxicity", batches, 1):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sent.value.scores(texts(b.column(1)), wanted))], names=["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, score double")
 
 
 def drop_toxic(docs: DataFrame, model: Machine, limit: float = TOXIC) -> DataFrame:
-    """docs without the rows that score at least `limit`; all columns stay as they are."""
+    """docs without the rows that score at least `limit`; all columns stay as they are.
+
+    A null or empty text has no terms and scores by the prior alone; rows with null ids and repeated rows are each
+    judged by their own text; an empty table stays empty.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array([sent.value.score(t) < limit for t in texts(b.column(place))], pa.bool_()))
+        wanted = sent.value.wanted()
+        for b in slices("toxicity", batches, place):
+            yield b.filter(pa.array(sent.value.scores(texts(b.column(place)), wanted) < limit))
 
     return docs.mapInArrow(run, docs.schema)
