@@ -7,7 +7,7 @@ import tempfile
 import threading
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -91,11 +91,23 @@ def discard(df: DataFrame) -> None:
         _remove(df.sparkSession, [df._scratch])
 
 
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() returns, materialised, and what make materialised on the way removed."""
+    mark = len(_paths())
+    found = materialise(make(), name)
+    _remove(spark, [p for p in _paths()[mark:] if p != found._scratch])
+    _paths()[mark:] = [found._scratch]
+    return found
+
+
 def _remove(spark: SparkSession, paths: list[str]) -> None:
+    """Removes folders, and has the driver look for shuffles that nothing refers to any more: executors keep their
+    files until the driver's garbage is collected."""
     jvm = spark.sparkContext._jvm
     for p in paths:
         place = jvm.org.apache.hadoop.fs.Path(p)
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    jvm.System.gc()
 
 
 @contextmanager
