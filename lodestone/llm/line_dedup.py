@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.rows import let
 from lodestone.llm.simhash import spread
-from lodestone.session import materialise
+from lodestone.session import materialise, settled
 
 #: Leading tokens that are levels of the tree, below the token count.
 DEPTH = 2
@@ -70,14 +70,19 @@ def drop_recurring_lines(docs: DataFrame, recurs: tuple[tuple[int, int], ...] =
 
     Every row stays, also one whose lines all go; a null text stays null. Line feeds join the kept lines.
     """
-    columns = docs.columns
-    drops = recurring_lines(docs, recurs).groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
-    drops = drops.select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), "dropped")
-    own = docs.select([F.col(c) for c in columns if c not in ("dropped", "n_lines")]).withColumn("_mark", F.xxhash64(F.coalesce("text", F.lit(""))))
-    both = own.join(drops, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_mark") == F.col("_m")), "left")
+    def places() -> DataFrame:
+        return recurring_lines(docs, recurs).groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
+
+    # the other columns travel in one struct, so that no name of theirs clashes
+    rest = [c for c in docs.columns if c not in ("text", "dropped", "n_lines")]
+    text = F.coalesce("text", F.lit(""))
+    own = docs.select(F.col("doc_id"), F.col("text"), F.xxhash64(text).alias("mark"), F.struct(*rest).alias("row"))
+    drops = settled(docs.sparkSession, "drops", places).toDF("d", "m", "dropped")
+    both = own.join(drops, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left")
     lines = F.split(F.col("text"), "\n", -1)
     kept = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(let(lines, lambda x: without(x, F.col("dropped"))), "\n"))
-    return both.withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1))).withColumn("text", kept).withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>"))).drop("_d", "_m", "_mark")
+    columns = [kept.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("dropped", "n_lines")]
+    return both.select(*columns, F.size(F.split(text, "\n", -1)).alias("n_lines"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
 
 
 def without(lines: Column, places: Column) -> Column:

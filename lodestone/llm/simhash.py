@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import connected_components
-from lodestone.llm.rows import utf8
+from lodestone.llm.rows import slices, utf8
 from lodestone.session import materialise
 
 #: Largest number of differing bits of a link.
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row (doc_id, fp) per row of docs; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices("near duplicates", batches, 1):
             found = np.fromiter((simhash(t) for t in utf8(batch.column(1))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
@@ -169,11 +169,13 @@ def hex_digits(fp: Column) -> Column:
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs with one row of each component: the one with the smallest id, null ids last.
 
-    Of rows that repeat that id in the component, the one whose text has the smallest hash. All columns stay as they are.
+    Of rows that repeat that id in the component, the one whose text has the smallest hash. All columns stay as they
+    are, whatever their names. An empty table stays empty.
     """
     mark = F.xxhash64(F.coalesce("text", F.lit("")))
     row = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), mark.alias("mark"))
     found = near_duplicates(docs.select(row.alias("doc_id"), "text"), radius=radius).select("component_id").distinct()
-    chosen = found.select(F.col("component_id.id").alias("_id"), F.col("component_id.mark").alias("_least"))
-    kept = docs.withColumn("_mark", mark).join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_least")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_mark"]).select(*docs.columns)
+    chosen = found.select("component_id.id", F.col("component_id.mark").alias("least"))
+    held = docs.select("doc_id", mark.alias("mark"), F.struct(*docs.columns).alias("row"))
+    kept = held.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("least")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "mark"]).select("row.*")
