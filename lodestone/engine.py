@@ -293,10 +293,10 @@ class Engine:
 
     def query(self, sql: str, offset: int = 0) -> guarded.Page:
         with self._call():
-            text = guarded.checked(self.spark, sql, self.limits)
+            guarded.checked(self.spark, sql, self.limits)
             pointer = self.ensure_current()
             with self.snapshot(pointer) as spark:
-                return guarded.within(spark, self.limits.query_seconds, lambda: guarded.page(spark.sql(f"SELECT * FROM (\n{text}\n)"), offset, pointer.revision_id, self.limits))
+                return guarded.within(spark, self.limits.query_seconds, lambda: guarded.page(guarded.result(spark, sql, self.limits), offset, pointer.revision_id, self.limits))
 
     def report(self) -> dict:
         with self._call():

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import evidence, relational, reports
+from lodestone.plans import dialect, evidence, relational, reports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for _module in (reports, relational, evidence):
+for _module in (reports, relational, evidence, dialect):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

@@ -28,9 +28,12 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session gets one
+    of our own; on a cluster, where no local folder is shared, RuntimeError."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), f"lodestone-{os.getuid()}")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
