@@ -56,12 +56,28 @@ def fingerprint(t: Column) -> Column:
 
 
 def shown(t: Column) -> Column:
-    """The distinct blocks as the fingerprint shows them."""
-    return F.array_distinct(F.transform(F.flatten(t.blocks), short))
+    """The blocks as the fingerprint shows them, the repeats of each numbered, so that the array is a multiset:
+    sorted, cut into runs of equal blocks, and hashed with the place in the run."""
+
+    def numbered(s: Column) -> Column:
+        places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+
+        def runs(at: Column) -> Column:
+            def run(start: Column, k: Column) -> Column:
+                last = F.coalesce(F.get(at, k + 1), F.size(s)) - 1 - start
+                return F.transform(F.sequence(F.lit(0), last), lambda n: F.xxhash64(F.get(s, start), n))
+
+            return F.flatten(F.transform(at, run))
+
+        return let(starts, runs)
+
+    return let(F.array_sort(F.transform(F.flatten(t.blocks), short)), numbered)
 
 
 def likeness(a_root: Column, a_shown: Column, b_root: Column, b_shown: Column) -> Column:
-    """1 for equal roots; else the Dice share of common distinct blocks, less than 1. Two empty sides with other roots: 0."""
+    """1 for equal roots; else the Dice share of common blocks, repeats counted, less than 1. Two empty sides with
+    other roots: 0."""
     total = F.size(a_shown) + F.size(b_shown)
     share = F.when(total > 0, 2.0 * F.size(F.array_intersect(a_shown, b_shown)) / total).otherwise(0.0)
     return F.when(a_root == b_root, 1.0).otherwise(F.least(share, F.lit(0.999999)))

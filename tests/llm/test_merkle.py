@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -35,6 +36,24 @@ def test_report_matches_a_plain_form(spark):
         assert min(r.near_edited for r in long) > 0.4 and max(r.near_next for r in long) < 0.2
 
 
+def test_likeness_is_the_dice_share_of_the_blocks_that_fingerprints_show(spark):
+    rng = random.Random(3)
+    own = texts(30, 5) + ["\n".join(rng.choice(["the same line again and again", "another line", "end"]) for _ in range(rng.randrange(1, 300))) for _ in range(30)]
+    rows = Q.merkle_digest(spark.createDataFrame(list(enumerate(own)), "doc_id bigint, text string")).collect()
+    prints = {r.doc_id: r.fingerprint for r in rows}
+
+    def dice(f, g):
+        a, b = (Counter(p[k : k + 8] for p in x.split(":")[1].split(",") for k in range(0, len(p), 8)) for x in (f, g))
+        total = a.total() + b.total()
+        return 1.0 if f == g else min(2 * (a & b).total() / total if total else 0.0, 0.999999)
+
+    for r in rows:
+        assert abs(r.near_edited - dice(r.fingerprint, r.edited_fingerprint)) < 1e-9
+        assert abs(r.near_next - dice(r.fingerprint, prints[(r.doc_id - 1) % len(own)])) < 1e-9
+        if r.n_chars > 2000:
+            assert r.near_edited > 0.6
+
+
 def test_fingerprints_are_equal_only_for_equal_texts(spark):
     cases = ["a b", "a  b", " a b", "a b ", "a\nb", "a\n\nb", "", "\n", "A b", "a b\n", "é", "é"]
     rows = spark.createDataFrame(list(enumerate(cases * 2)), "doc_id bigint, text string")
