@@ -26,7 +26,7 @@ BLOCK_TOKENS = 1_000_000
 STEP_TOKENS = 8 * 2048
 END_ID = 1
 #: Words whose ids a worker remembers: those of the last one to two times so many distinct words.
-REMEMBER = 120_000
+REMEMBER = 200_000
 #: Longest word that is remembered.
 WORD = 48
 #: Bytes as the characters that a byte-level vocabulary writes them with: visible Latin-1 stands for itself, the
@@ -58,8 +58,8 @@ class Ids:
         """The ids of a word with the space before it, if any, that is not in `known`."""
         ids = self.before.get(w)
         if ids is None:
-            parts = self.split(w)
-            if len(parts) == 1:
+            parts = None if w[1:].isalpha() and w[0] == " " else self.split(w)  # a space and letters are one pre-token
+            if parts is None or len(parts) == 1:
                 found = self.model.tokenize(w.encode().decode("latin-1").translate(_LETTER))
                 ids = array("I", [t.id for t in found]).tobytes()
             else:
