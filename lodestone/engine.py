@@ -25,6 +25,10 @@ from lodestone.store import Pointer, StaleBaseline, Store
 from lodestone.streaming.changes import DESYNCED, HEALTHY, Watch, drain, until_quiet
 
 
+#: What errors of a damaged or incomplete table say.
+DAMAGE = ("not a Parquet file", "CANNOT_READ_FILE_FOOTER", "FILE_NOT_EXIST", "PATH_NOT_FOUND", "FileNotFoundException", "UNABLE_TO_INFER_SCHEMA", "corrupt", "PARQUET_COLUMN_DATA_TYPE_MISMATCH")
+
+
 class TimeBudgetExceeded(RuntimeError):
     pass
 
@@ -133,14 +137,19 @@ class Engine:
         return found
 
     def _readable(self) -> bool:
-        """Whether the current revision's tables open; a store that doesn't is rebuilt from the corpus."""
+        """Whether the current revision's tables open; a damaged store is rebuilt from the corpus, findings and all, so
+        that an error that doesn't say damage (one of the network or of a lost executor) is raised instead."""
         try:
             pointer = self.store.current()
             for name in ("files", "evidence", "dependency_edges") if pointer else ():
                 self.store.read(name, pointer).head(1)
             return True
-        except Exception:  # noqa: BLE001  whatever makes it unreadable
+        except (ValueError, KeyError, FileNotFoundError):
             return False
+        except Exception as e:  # noqa: BLE001  Spark says damage in its message
+            if any(x in str(e) for x in DAMAGE):
+                return False
+            raise
 
     def consume(self, source: str, checkpoint: str) -> None:
         """Take what an event folder holds into the pending changes; offsets are kept by the checkpoint."""

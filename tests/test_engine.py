@@ -213,3 +213,17 @@ def test_watch_state():
     assert w.health == C.NEEDS_VERIFICATION
     with pytest.raises(RuntimeError):
         C.until_quiet(lambda: True, 3)
+
+
+def test_a_passing_error_does_not_drop_the_store(engine, monkeypatch):
+    engine.project_control("on")
+    revision = engine.store.current().revision_id
+
+    def fails(*_):
+        raise RuntimeError("connection reset")
+
+    with monkeypatch.context() as m:
+        m.setattr(engine.store, "read", fails)
+        with pytest.raises(RuntimeError, match="connection reset"):
+            engine.report()
+    assert engine.store.current().revision_id == revision
