@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import string
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -69,14 +69,30 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host, rest[:end]
 
 
-def rule_of(host: str, path: str, rules: dict[str, str] = RULES) -> str | None:
-    """The longest rule that fits, found over the host's suffixes at its dots."""
-    best = None
-    for rule in rules:
+def by_host(rules: Iterable[str]) -> dict[str, list[tuple[str, str]]]:
+    """(start of the path, rule) of the rules of each host, longest first."""
+    found: dict[str, list[tuple[str, str]]] = {}
+    for rule in sorted(rules, key=len, reverse=True):
         own, slash, start = rule.partition("/")
-        if (host == own or host.endswith("." + own)) and path.startswith(slash + start) and (best is None or len(rule) > len(best)):
+        found.setdefault(own, []).append((slash + start, rule))
+    return found
+
+
+def fitting(host: str, path: str, index: dict[str, list[tuple[str, str]]]) -> str | None:
+    """The longest rule that fits, looked up by the host and by what follows each of its dots, so that a url costs
+    its dots and the rules of those hosts, not all rules."""
+    best, own = None, host
+    while True:
+        rule = next((r for start, r in index.get(own, ()) if path.startswith(start)), None)
+        if rule is not None and (best is None or len(rule) > len(best)):
             best = rule
-    return best
+        _, dot, own = own.partition(".")
+        if not dot:
+            return best
+
+
+def rule_of(host: str, path: str, rules: dict[str, str] = RULES) -> str | None:
+    return fitting(host, path, by_host(rules))
 
 
 def grams(text: str, kind: str) -> list[int]:
@@ -131,6 +147,7 @@ def judged(pages: DataFrame, judge: Judge | None = None, rules: dict[str, str] |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, own = sent.value
+        index = by_host(own)
         hosts: dict[str, float] = {}
         for b in batches:
             out = []
@@ -142,7 +159,7 @@ def judged(pages: DataFrame, judge: Judge | None = None, rules: dict[str, str] |
                     hosts[host] = model.part(host, "h")
                 raw = model.bias + hosts[host] + model.part(path, "p")
                 p = float(1 / (1 + np.exp(-np.clip(raw, -30, 30))))
-                rule = rule_of(host, path, own)
+                rule = fitting(host, path, index)
                 out.append((host, path, rule, own[rule] if rule else ("block" if p >= block else "allow"), p))
             types = [pa.string()] * 4 + [pa.float64()]
             cols = list(zip(*out, strict=True)) or [[]] * 5
