@@ -53,7 +53,7 @@ def _structures(tree: Tree, language: str) -> Iterator[Row]:
             continue
         node = n.attrs.get("ast")
         if language == "html":
-            name = " ".join(tree.source.slice(c) for c in n.walk() if c.kind == "text")[:200]
+            name = " ".join(tree.source.slice(c) for c in n.walk() if c.kind == "text")
         else:
             name = _name(n, tree)
         decorators = [ast.unparse(d) for d in getattr(node, "decorator_list", [])]

@@ -91,9 +91,9 @@ def post_update_manifest(spark, sf_dir):
     return diff.after_update(stored, upserts, changed.filter("status = 'Deleted'"))
 
 
-@query(f"WITH {AFTER}, f AS (SELECT doc_id AS id, {DOC_PATH} AS path, sha256(text) AS h FROM documents WHERE doc_id % 3 = 0) SELECT id, path FROM f WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.path = f.path AND b.h = f.h)")
+@query(f"WITH {AFTER}, f AS (SELECT doc_id AS id, {DOC_PATH} AS path, sha256(text) AS h FROM documents) SELECT id, path FROM f WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.path = f.path AND b.h = f.h)")
 def stale_findings(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter("doc_id % 3 = 0")
+    docs = table(spark, sf_dir, "documents")
     findings = docs.select(F.col("doc_id").alias("id"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), "lang").alias("path"), F.sha2("text", 256).alias("content_hash"))
     return findings.join(perturbed(spark, sf_dir)[1], ["path", "content_hash"], "left_anti").select("id", "path")
 
@@ -168,11 +168,13 @@ def path_normalize(spark, sf_dir):
     return orders.select("o_orderkey", place.alias("place"), paths.parent(F.lit("a/b")).alias("above"), paths.joined(F.lit("a"), F.lit("../../../x")).alias("root"))
 
 
-@query("SELECT doc_id, CASE WHEN strlen(text) <= 2000 THEN text END AS short, strlen(text) > 2000 AS text_truncated FROM documents")
+@query("""WITH d AS (SELECT doc_id, strlen(text) AS z, hex(encode(text)) AS h FROM documents),
+c AS (SELECT *, CASE WHEN z <= 2000 THEN z ELSE list_filter([2000, 1999, 1998, 1997], lambda k: substr(h, 2 * k + 1, 1) NOT IN ('8', '9', 'A', 'B'))[1] END AS n FROM d)
+SELECT doc_id, decode(unhex(substr(h, 1, 2 * n))) AS shown, z > 2000 AS text_truncated FROM c""")
 def match_text_cut(spark, sf_dir):
     cut = paths.cut_bytes(F.col("text"), 2000)
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.when(F.octet_length("text") <= 2000, cut).alias("short"), (F.octet_length(cut) < F.octet_length("text")).alias("text_truncated"))
+    return docs.select("doc_id", cut.alias("shown"), (F.octet_length(cut) < F.octet_length("text")).alias("text_truncated"))
 
 
 @query("""WITH c AS (SELECT CAST(user_id AS VARCHAR) AS path, CASE WHEN event_type = 'error' THEN 'deleted' ELSE 'dirty' END AS change, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) SELECT path, change, seq FROM c WHERE rn = 1""")

@@ -21,7 +21,7 @@ SHARED = {
     "join_inner": "SELECT o.o_orderkey, c.c_name, n.n_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE o.o_totalprice > 200000",
     "join_left": "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 300000",
     "join_right": "SELECT d.doc_id, l.doc_id AS label_id, l.toxic FROM documents d RIGHT JOIN labels l ON d.doc_id = l.doc_id AND d.lang = 'en'",
-    "join_full": "SELECT a.doc_id AS left_id, b.doc_id AS right_id FROM (SELECT doc_id FROM documents WHERE doc_id % 3 = 0) a FULL JOIN (SELECT doc_id FROM labels) b ON a.doc_id = b.doc_id",
+    "join_full": "SELECT d.doc_id AS left_id, l.doc_id AS right_id FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id AND d.lang = 'en'",
     "join_cross": "SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n",
     "join_theta": "SELECT a.n_name AS first, b.n_name AS second FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
     "join_using": "SELECT doc_id, d.lang, l.quality FROM documents d JOIN labels l USING (doc_id)",
@@ -29,7 +29,7 @@ SHARED = {
     "join_semi": "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)",
     "join_semi_in": "SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)",
     "join_anti": "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
-    "anti_not_in": "SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_suppkey IS NOT NULL)",
+    "anti_not_in": "SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_discount = 0 AND l_tax = 0 AND l_suppkey IS NOT NULL)",
     "scalar_subquery": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.8 FROM orders)",
     "scalar_subquery_correlated": "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n_orders FROM customer",
     "agg_grouped": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS sum_qty, round(avg(l_extendedprice), 4) AS avg_price, min(l_shipdate) AS first_ship, max(l_discount) AS max_discount FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus",
@@ -65,8 +65,8 @@ SHARED = {
 #: Statements whose spelling differs: Spark's, then DuckDB's.
 SPELLED = {
     "cte_recursive": (
-        "WITH RECURSIVE n(x) MAX RECURSION LEVEL 1000 AS (SELECT 1 UNION ALL SELECT x + 1 FROM n WHERE x < 600) SELECT CAST(x AS BIGINT) AS x, count(o_orderkey) AS orders FROM n LEFT JOIN orders ON o_custkey = x GROUP BY x",
-        "WITH RECURSIVE n(x) AS (SELECT 1 UNION ALL SELECT x + 1 FROM n WHERE x < 600) SELECT CAST(x AS BIGINT) AS x, count(o_orderkey) AS orders FROM n LEFT JOIN orders ON o_custkey = x GROUP BY x",
+        "WITH RECURSIVE n(level, x, hi) MAX RECURSION LEVEL 64 AS (SELECT CAST(1 AS BIGINT), CAST(1 AS BIGINT), max(o_custkey) FROM orders UNION ALL SELECT level + 1, x * 2, hi FROM n WHERE x * 2 <= hi), o AS (SELECT length(bin(o_custkey)) AS level, count(*) AS orders, sum(o_custkey) AS keys FROM orders GROUP BY 1) SELECT n.level, n.x, coalesce(o.orders, 0) AS orders, CAST(coalesce(o.keys, 0) AS BIGINT) AS keys FROM n LEFT JOIN o ON o.level = n.level",
+        "WITH RECURSIVE n(level, x, hi) AS (SELECT CAST(1 AS BIGINT), CAST(1 AS BIGINT), max(o_custkey) FROM orders UNION ALL SELECT level + 1, x * 2, hi FROM n WHERE x * 2 <= hi), o AS (SELECT length(bin(o_custkey)) AS level, count(*) AS orders, sum(o_custkey) AS keys FROM orders GROUP BY 1) SELECT n.level, n.x, coalesce(o.orders, 0) AS orders, CAST(coalesce(o.keys, 0) AS BIGINT) AS keys FROM n LEFT JOIN o ON o.level = n.level",
     ),
     "row_values": (
         "SELECT o_orderkey FROM orders WHERE struct(o_orderstatus, o_orderpriority) = struct('F', '2-HIGH')",
