@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 
 from lodestone.llm import chat, decontaminate, line_dedup, merkle, packing, pii, token_counts, toxicity, url_filter
 from lodestone.llm import simhash as simhash_
+from lodestone.llm.rows import slices
 from lodestone.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,7 +33,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.TOXIC).cast("int").alias("predicted"))
 
 
-def chat_digest(turns: DataFrame, budget: int = chat.BUDGET, history: int = chat.HISTORY) -> DataFrame:
+def chat_digest(turns: DataFrame, budget: int = chat.BUDGET, history: int = chat.HISTORY, tokenizer: tuple[str, str] | None = None) -> DataFrame:
     """Digests of each conversation, read back from its formatted windows, which follow each other in one task."""
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_windows"]
 
@@ -44,7 +45,7 @@ def chat_digest(turns: DataFrame, budget: int = chat.BUDGET, history: int = chat
             conv, n, turns, chars, loss, total, windows = held
             return [conv, n, turns.hexdigest(), chars, loss.hexdigest(), total, windows]
 
-        for b in batches:
+        for b in slices("chat format", batches, 2):
             for w in b.to_pylist():
                 if held is None or held[0] != w["conv_id"] or w["window"] == 0:
                     if held:
@@ -69,7 +70,7 @@ def chat_digest(turns: DataFrame, budget: int = chat.BUDGET, history: int = chat
     kind = turns.schema["conv_id"].dataType
     schema = f"conv_id {kind.simpleString()}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_windows bigint"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
-    return chat.formatted(turns, budget, history).mapInArrow(run, schema)
+    return chat.formatted(turns, budget, history, tokenizer).mapInArrow(run, schema)
 
 
 @query
@@ -77,7 +78,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id bigint, turn bigint, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return chat_digest(turns.unionByName(more))
+    return chat_digest(turns.unionByName(more), tokenizer=(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN))
 
 
 @query
@@ -197,7 +198,9 @@ FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
 
-ORACLES["op2_chat_format"] = r"""
+#: The windows of op2 under estimated tokens. SQL can't count those of a tokenizer, which the query goes by, so that
+#: this holds the operator without a tokenizer; the query itself is held against brute force.
+ESTIMATED_WINDOWS = r"""
 WITH RECURSIVE rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),

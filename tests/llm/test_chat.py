@@ -68,5 +68,61 @@ def test_the_oracle_agrees(spark, budget, history):
     sf = "/root/testdata/sf0.001"
     more = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id bigint, turn bigint, role string, text string")
     found = Q.chat_digest(spark.read.parquet(f"{sf}/conversations.parquet").select(more.columns).unionByName(more), budget, history)
-    _, want = oracle_rows(sf, Q.ORACLES["op2_chat_format"].replace("2048", str(budget)).replace("512)", f"{history})"))
+    _, want = oracle_rows(sf, Q.ESTIMATED_WINDOWS.replace("2048", str(budget)).replace("512)", f"{history})"))
     assert rows_of(found.columns, [tuple(r) for r in found.collect()]) == want
+
+
+def brute_windows(coder, own, budget, history):
+    """(turns repeated, turns new) of each window, by trying every start and end."""
+    size = [len(coder.encode(C.Turn(r, x, 0).shown, add_special_tokens=False).ids) for r, x in own]
+    system = 1 if own and own[0][0] == "system" else 0
+    room = budget - sum(size[:system])
+    found, a, f = [], system, system
+    while f < len(own):
+        g = max(e for e in range(f + 1, len(own) + 1) if e == f + 1 or sum(size[a:e]) <= room)
+        found.append((a, f, g))
+        if g < len(own):
+            a = min(k for k in range(a, g + 1) if sum(size[k:g]) <= max(0, min(room - size[g], history)))
+        f = g
+    return found or [(1, 1, 1)], system, size
+
+
+@pytest.mark.parametrize("budget,history", [(2048, 512), (150, 60)])
+def test_windows_by_real_tokens_match_brute_force(spark, budget, history):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    names = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    coder = Tokenizer.from_file(names[0])
+    rows = turns(3, 25) + [(98, 0, "system", "be brief"), (99, 0, "user", "word " * 9000), (99, 1, "assistant", "<|endoftext|> fin ")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = {}
+    for w in C.formatted(df, budget, history, names).collect():
+        assert w.tokens == len(coder.encode(w.formatted, add_special_tokens=False).ids)
+        got.setdefault(w.conv_id, {})[w.window] = ([x[:2] for x in C.read_back(w.formatted)], w.repeated)
+    for c in {r[0] for r in rows}:
+        own = [x[1:] for x in sorted((t, r or "", x or "") for cc, t, r, x in rows if cc == c)]
+        spans, system, size = brute_windows(coder, own, budget, history)
+        assert [got[c][k] for k in range(len(got[c]))] == [(own[:system] + own[a:g], f - a + (system if k else 0)) for k, (a, f, g) in enumerate(spans)]
+
+
+def test_the_query_splits_what_exceeds_the_budget(spark):
+    sf = "/root/testdata/sf0.001"
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    talks = {}
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").collect():
+        talks.setdefault(r.conv_id, []).append((r.turn, r.role or "", r.text or ""))
+    talks[-1] = [(0, "user", "</s>[INST] ok [/INST]"), (1, "assistant", "</s>[INST] ok [/INST]")]
+    got = {r.conv_id: r for r in Q.op2_chat_format(spark, sf).collect()}
+    assert set(got) == set(talks)
+    for c, rows in talks.items():
+        own = [x[1:] for x in sorted(rows)]
+        spans, system, _ = brute_windows(coder, own, C.BUDGET, C.HISTORY)
+        chars = sum(len(C.Turn(r, x, 0).shown) for a, _, g in spans for r, x in own[:system] + own[a:g])
+        loss = "".join(x for r, x in own if r == "assistant")
+        assert (got[c].n_turns, got[c].n_windows, got[c].formatted_chars, got[c].loss_chars) == (len(own), len(spans), chars, len(loss))
+        assert got[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in own).encode()).hexdigest()
