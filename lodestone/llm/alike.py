@@ -233,7 +233,8 @@ def crossing(crowded: DataFrame, rows: DataFrame, roots: DataFrame) -> DataFrame
         for lo in range(0, len(n), ROWS):
             some = slice(lo, min(len(n), lo + ROWS))
             upto = int(np.searchsorted(n, n[some][-1] * 5 // 4, side="right"))
-            ok = root[some, None] != root[None, lo:upto]
+            # each pair by its own sizes: a short text's sketch says nothing beside a long one's
+            ok = (root[some, None] != root[None, lo:upto]) & (5 * n[some, None] >= 4 * n[None, lo:upto])
             i, j = np.nonzero(np.triu(ok, 1))
             for at in range(0, len(i), 1 << 16):
                 p, q = i[at : at + (1 << 16)] + lo, j[at : at + (1 << 16)] + lo

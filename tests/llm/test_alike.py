@@ -85,3 +85,16 @@ def test_sketches_and_prefixes_lose_no_alike_pair():
             one = np.zeros(1, np.int64)
             assert A.within_sketch(np.array([len(a)]), np.array([len(b)]), x, y, one, one).all()
             assert set(A.prefix(a, hot, often).tolist()) & set(A.prefix(b, hot, often).tolist())
+
+
+def test_crowded_cells_list_no_pair_whose_sizes_rule_it_out(spark):
+    import numpy as np
+
+    rng = random.Random(9)
+    sets = [np.unique(np.array([rng.getrandbits(63) for _ in range(n)], np.uint64)) for n in [10, 400, 4000] * 12]
+    near = np.sort(np.append(sets[1][1:], np.uint64(7)))
+    sets.append(near)
+    rows = spark.createDataFrame([(k, len(s), bytearray(A.sketch(s))) for k, s in enumerate(sets)], "key bigint, n bigint, sketch binary")
+    crowded = spark.createDataFrame([(list(range(len(sets))),)], "keys array<bigint>")
+    roots = spark.createDataFrame([], "node bigint, root bigint")
+    assert [(r.a, r.b) for r in A.crossing(crowded, rows, roots).collect()] == [(len(sets) - 1, 1)]
