@@ -20,6 +20,8 @@ from lodestone.session import discard, materialise, settled
 WIDTH = 5
 #: Fewest bits of a sketch, and its bits a shingle, rounded up to a power of two: few pairs below 0.79 pass.
 SKETCH, WIDE = 512, 4
+#: Bits a shingle of what unrelated texts are told apart by first.
+NARROW = 1
 #: Up to SENT keys of rows to look for go to all tasks (16 bytes each or so); more are joined by a shuffle.
 SENT = 500_000
 #: Members of a cell up to which all its pairs are listed; larger ones list this many neighbours first.
@@ -56,11 +58,15 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
+def sketch_bits(n: int, bits: int) -> int:
+    return max(SKETCH, 1 << (bits * n - 1).bit_length()) if n else SKETCH
+
+
 def sketch(s: np.ndarray, bits: int = WIDE) -> bytes:
     """Parity of the number of shingles at each bit. Each bit that two sketches differ in takes a shingle that one
     text alone has; alike texts have at most a ninth of their sizes' sum of those. Halves of a sketch, one over the
     other, are the sketch of half the bits. A sketch has at least `bits` bits a shingle."""
-    size = max(SKETCH, 1 << (bits * len(s) - 1).bit_length()) if len(s) else SKETCH
+    size = sketch_bits(len(s), bits)
     return np.packbits(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
 
 
@@ -164,10 +170,34 @@ def nodes_of(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return materialise(among(rows.select("key", "n", "sketch"), keys).dropDuplicates(["key"]), "nodes")
 
 
-def sketched(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (a, b), of a materialised table, that sizes and sketches allow, materialised."""
-    keys = ends(pairs, "listed_keys")
-    nodes = nodes_of(rows, keys)
+def narrowed(nodes: DataFrame) -> DataFrame:
+    """nodes (key, n, sketch) with sketches folded to NARROW bits a shingle, so that few bytes go with each pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in slices("near duplicates", batches, 2):
+            sizes = [sketch_bits(n, NARROW) // 64 for n in x.column(1).to_pylist()]
+            less = [folded(np.frombuffer(s, np.uint64), w).tobytes() for s, w in zip(x.column(2).to_pylist(), sizes, strict=True)]
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(less, pa.binary())], names=["key", "n", "sketch"])
+
+    return nodes.select("key", "n", "sketch").mapInArrow(run, "key bigint, n bigint, sketch binary")
+
+
+def members_of(cells: DataFrame) -> DataFrame:
+    """(cell, key) of each of a cell's keys."""
+    return cells.select(F.monotonically_increasing_id().alias("cell"), "keys").select("cell", F.explode("keys").alias("key"))
+
+
+def listing(cells: DataFrame, nodes: DataFrame, small_cell: int) -> DataFrame:
+    """Pairs (a, b) of cells (keys), of a materialised table, that sizes allow: all of cells up to small_cell, those
+    nearest in size of larger ones."""
+    sized = members_of(cells).join(nodes.select("key", "n"), "key").groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))
+    step = F.when(F.size("keys") <= small_cell, small_cell).otherwise(NEIGHBOURS)
+    pairs = sized.select(F.posexplode("keys").alias("at", "x"), "keys", step.alias("step")).select("x", F.explode(F.expr("slice(keys, at + 2, step)")).alias("y"))
+    return pairs.filter("5 * x.n >= 4 * y.n").select(F.greatest("x.key", "y.key").alias("a"), F.least("x.key", "y.key").alias("b")).distinct()
+
+
+def sketched(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sketches allow, materialised."""
     side = lambda x: nodes.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,14 +207,8 @@ def sketched(pairs: DataFrame, rows: DataFrame) -> DataFrame:
                 ok = within_sketch(x.column(2).to_numpy(), x.column(3).to_numpy(), sketches(x.column(4)), sketches(x.column(5)), at, at)
                 yield x.select(["a", "b"]).filter(pa.array(ok))
 
-    # sizes first, so that sketches are joined to the pairs left only
-    sized = lambda x: nodes.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"))
-    fit = pairs.join(sized("a"), "a").join(sized("b"), "b").filter("5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b")
-    both = fit.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
-    found = materialise(both.mapInArrow(run, "a bigint, b bigint"), "near")
-    discard(nodes)
-    discard(keys)
-    return found
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
+    return materialise(both.mapInArrow(run, "a bigint, b bigint"), "near")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -216,14 +240,14 @@ def texts_of(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def crossing(crowded: DataFrame, rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """All pairs of crowded cells that sizes and sketches allow and that roots (node, root) leave apart."""
+    """All pairs of crowded cells that sizes and sketches allow and that roots (node, root) leave apart, materialised."""
     schema = "a bigint, b bigint"
-    members = crowded.select(F.monotonically_increasing_id().alias("cell"), "keys")
-    members = materialise(members.select("cell", F.explode("keys").alias("key")), "members")
+    members = materialise(members_of(crowded), "members")
     placed = members.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     open_ = placed.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("cell")
     apart = materialise(placed.join(open_, "cell", "left_semi").select("cell", "key", "root"), "apart")
-    known = apart.join(nodes_of(rows, materialise(apart.select("key").distinct(), "apart_keys")), "key")
+    nodes = nodes_of(rows, materialise(apart.select("key").distinct(), "apart_keys"))
+    known = apart.join(narrowed(nodes), "key")
 
     def run(x: pa.Table) -> pa.Table:
         x = x.sort_by([("n", "ascending"), ("key", "ascending")])
@@ -243,7 +267,8 @@ def crossing(crowded: DataFrame, rows: DataFrame, roots: DataFrame) -> DataFrame
         a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
         return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
-    return known.select("cell", "key", "root", "n", "sketch").groupBy("cell").applyInArrow(run, schema).distinct()
+    like = materialise(known.select("cell", "key", "root", "n", "sketch").groupBy("cell").applyInArrow(run, schema).distinct(), "crossing")
+    return sketched(like, nodes)
 
 
 def links(rows: DataFrame, docs: DataFrame, small_cell: int = SMALL_CELL) -> DataFrame:
@@ -253,18 +278,21 @@ def links(rows: DataFrame, docs: DataFrame, small_cell: int = SMALL_CELL) -> Dat
     few of each member first; then all pairs that the links found so far leave in different components.
     """
     entries = rows.filter("n > 0").select("key", F.explode("prefix").alias("cell"))
-    cells = entries.groupBy("cell").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    cells = materialise(cells.filter(F.size("keys") > 1).select("keys").distinct(), "cells")
-    step = F.when(F.size("keys") <= small_cell, small_cell).otherwise(NEIGHBOURS)
-    pairs = cells.select(F.posexplode("keys").alias("at", "b"), "keys", step.alias("step")).select("b", F.explode(F.expr("slice(keys, at + 2, step)")).alias("a"))
-    listed = materialise(pairs.select("a", "b").distinct(), "listed")
-    near = sketched(listed, rows)
-    discard(listed)
+    grouped = entries.groupBy("cell").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    # settled, so that the shuffle of all prefixes goes before the next ones
+    cells = settled(docs.sparkSession, "cells", lambda: grouped.filter(F.size("keys") > 1).select("keys").distinct())
+    keys = materialise(cells.select(F.explode("keys").alias("key")).distinct(), "cell_keys")
+    nodes = nodes_of(rows, keys)
+    listed = materialise(listing(cells, nodes, small_cell), "listed")
+    like = sketched(listed, narrowed(nodes))
+    near = sketched(like, nodes)
+    for x in (listed, like, nodes, keys):
+        discard(x)
     found = confirmed(near, rows, docs, "found")
     crowded = cells.filter(F.size("keys") > small_cell)
     if crowded.isEmpty():
         return found
-    more = materialise(crossing(crowded, rows, connected_components(found)), "crossing")
+    more = crossing(crowded, rows, connected_components(found))
     return found.unionByName(confirmed(more, rows, docs, "crossed"))
 
 

@@ -98,3 +98,14 @@ def test_crowded_cells_list_no_pair_whose_sizes_rule_it_out(spark):
     crowded = spark.createDataFrame([(list(range(len(sets))),)], "keys array<bigint>")
     roots = spark.createDataFrame([], "node bigint, root bigint")
     assert [(r.a, r.b) for r in A.crossing(crowded, rows, roots).collect()] == [(len(sets) - 1, 1)]
+
+
+def test_listed_pairs_are_held_to_sizes_and_narrow_sketches_are_folded_ones(spark):
+    import numpy as np
+
+    rng = random.Random(10)
+    sets = [np.unique(np.array([rng.getrandbits(63) for _ in range(n)], np.uint64)) for n in [10, 12, 400, 500, 501, 4000]]
+    nodes = spark.createDataFrame([(k, len(s), bytearray(A.sketch(s))) for k, s in enumerate(sets)], "key bigint, n bigint, sketch binary")
+    cells = spark.createDataFrame([(list(range(6)),), ([3, 5, 2],)], "keys array<bigint>")
+    assert sorted((r.a, r.b) for r in A.listing(cells, nodes, 24).collect()) == [(1, 0), (3, 2), (4, 3)]
+    assert {r.key: bytes(r.sketch) for r in A.narrowed(nodes).collect()} == {k: A.sketch(s, A.NARROW) for k, s in enumerate(sets)}
