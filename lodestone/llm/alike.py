@@ -1,4 +1,5 @@
-"""Near-duplicate groups by exact 5-word similarity: prefix filter, parity sketches, verification, components."""
+"""Near-duplicate groups by exact 5-word similarity: SimHash classes by pivot distance tables, verified; then a prefix
+filter and parity sketches for the pairs that these leave apart, verified; components."""
 
 from __future__ import annotations
 
@@ -10,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm import simhash
 from lodestone.llm.components import connected_components
 from lodestone.llm.decontaminate import _P
 from lodestone.llm.rows import slices, utf8
@@ -187,13 +189,16 @@ def members_of(cells: DataFrame) -> DataFrame:
     return cells.select(F.monotonically_increasing_id().alias("cell"), "keys").select("cell", F.explode("keys").alias("key"))
 
 
-def listing(cells: DataFrame, nodes: DataFrame, small_cell: int) -> DataFrame:
-    """Pairs (a, b) of cells (keys), of a materialised table, that sizes allow: all of cells up to small_cell, those
-    nearest in size of larger ones."""
-    sized = members_of(cells).join(nodes.select("key", "n"), "key").groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))
+def listing(cells: DataFrame, nodes: DataFrame, small_cell: int, roots: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of cells (keys), of a materialised table, that sizes allow and that roots (node, root) leave apart:
+    all of cells up to small_cell, those nearest in size of larger ones."""
+    known = nodes.select("key", "n", F.col("key").alias("root"))
+    if roots is not None:
+        known = nodes.select("key", "n").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    sized = members_of(cells).join(known, "key").groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("n", "key", "root"))).alias("keys"))
     step = F.when(F.size("keys") <= small_cell, small_cell).otherwise(NEIGHBOURS)
     pairs = sized.select(F.posexplode("keys").alias("at", "x"), "keys", step.alias("step")).select("x", F.explode(F.expr("slice(keys, at + 2, step)")).alias("y"))
-    return pairs.filter("5 * x.n >= 4 * y.n").select(F.greatest("x.key", "y.key").alias("a"), F.least("x.key", "y.key").alias("b")).distinct()
+    return pairs.filter("5 * x.n >= 4 * y.n and x.root != y.root").select(F.greatest("x.key", "y.key").alias("a"), F.least("x.key", "y.key").alias("b")).distinct()
 
 
 def sketched(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -271,24 +276,46 @@ def crossing(crowded: DataFrame, rows: DataFrame, roots: DataFrame) -> DataFrame
     return sketched(like, nodes)
 
 
-def links(rows: DataFrame, docs: DataFrame, small_cell: int = SMALL_CELL) -> DataFrame:
-    """Links (a, b) between keys that connect all alike texts; each link is between alike texts.
+def classes(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """(keys) of each class of the SimHash operator (fingerprints, pivot distance tables, components) with several."""
+    found = simhash.near_duplicates(docs.select(mark_of(), "text"), "mark").select("doc_id", "component_id").distinct()
+    keyed = found.join(rows.select(F.col("mark").alias("doc_id"), "key").distinct(), "doc_id")
+    cells = keyed.groupBy("component_id").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    return cells.filter(F.size("keys") > 1).select("keys")
 
-    Cells are the shingles of the prefixes. Cells up to small_cell list all pairs. Larger ones list the nearest
-    few of each member first; then all pairs that the links found so far leave in different components.
-    """
+
+def shared(rows: DataFrame) -> DataFrame:
+    """(keys) of each set of texts that meet in a shingle of their prefixes."""
     entries = rows.filter("n > 0").select("key", F.explode("prefix").alias("cell"))
-    grouped = entries.groupBy("cell").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    # settled, so that the shuffle of all prefixes goes before the next ones
-    cells = settled(docs.sparkSession, "cells", lambda: grouped.filter(F.size("keys") > 1).select("keys").distinct())
+    cells = entries.groupBy("cell").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    return cells.filter(F.size("keys") > 1).select("keys").distinct()
+
+
+def confirmed_in(cells: DataFrame, rows: DataFrame, docs: DataFrame, small_cell: int, roots: DataFrame | None, name: str) -> DataFrame:
+    """The pairs (a, b) that cells list and whose texts are alike, materialised."""
     keys = materialise(cells.select(F.explode("keys").alias("key")).distinct(), "cell_keys")
     nodes = nodes_of(rows, keys)
-    listed = materialise(listing(cells, nodes, small_cell), "listed")
+    listed = materialise(listing(cells, nodes, small_cell, roots), "listed")
     like = sketched(listed, narrowed(nodes))
     near = sketched(like, nodes)
     for x in (listed, like, nodes, keys):
         discard(x)
-    found = confirmed(near, rows, docs, "found")
+    return confirmed(near, rows, docs, name)
+
+
+def links(rows: DataFrame, docs: DataFrame, small_cell: int = SMALL_CELL) -> DataFrame:
+    """Links (a, b) between keys that connect all alike texts; each link is between alike texts.
+
+    The classes of the SimHash operator come first. Fingerprints of alike texts may differ in more bits than it links,
+    so that cells of prefixes follow for the pairs that are still apart. Cells up to small_cell list all pairs. Larger
+    ones list the nearest few of each member first; then all pairs that the links found so far leave in different
+    components.
+    """
+    # settled, so that what finds cells goes before the next shuffles
+    spark = docs.sparkSession
+    near = confirmed_in(settled(spark, "classes", lambda: classes(rows, docs)), rows, docs, small_cell, None, "classed")
+    cells = settled(spark, "cells", lambda: shared(rows))
+    found = near.unionByName(confirmed_in(cells, rows, docs, small_cell, connected_components(near), "found"))
     crowded = cells.filter(F.size("keys") > small_cell)
     if crowded.isEmpty():
         return found

@@ -109,3 +109,24 @@ def test_listed_pairs_are_held_to_sizes_and_narrow_sketches_are_folded_ones(spar
     cells = spark.createDataFrame([(list(range(6)),), ([3, 5, 2],)], "keys array<bigint>")
     assert sorted((r.a, r.b) for r in A.listing(cells, nodes, 24).collect()) == [(1, 0), (3, 2), (4, 3)]
     assert {r.key: bytes(r.sketch) for r in A.narrowed(nodes).collect()} == {k: A.sketch(s, A.NARROW) for k, s in enumerate(sets)}
+
+
+def test_links_come_from_the_simhash_operator_first_and_are_verified(spark, monkeypatch):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(9999)}"
+    base = " ".join(word() for _ in range(400))
+    near = next(t for k in range(999) if 0 < (A.simhash.simhash(base.encode()) ^ A.simhash.simhash((t := f"{base} x{k}").encode())).bit_count() <= 2)
+    # the same 3-word shingles in another order: one fingerprint, but other 5-word shingles
+    turned = ["x y p q x y r s x y", "x y r s x y p q x y"]
+    assert A.simhash.simhash(turned[0].encode()) == A.simhash.simhash(turned[1].encode())
+    far = [*base.split()[:-30], *(word() for _ in range(30))]
+    assert (A.simhash.simhash(base.encode()) ^ A.simhash.simhash(" ".join(far).encode())).bit_count() > 2
+    docs = spark.createDataFrame(list(enumerate([base, near, *turned, " ".join(far), word()])), "doc_id bigint, text string")
+    rows = A.marked(docs)
+    ids = {r.key: r.doc_id for r in rows.collect()}
+    assert sorted(sorted(ids[k] for k in r["keys"]) for r in A.classes(rows, docs).collect()) == [[0, 1], [2, 3]]
+    asked = []
+    plain = A.listing
+    monkeypatch.setattr(A, "listing", lambda *a: asked.append(plain(*a)) or asked[-1])
+    assert sorted(r.doc_id for r in A.keep_one(docs).collect()) == [0, 2, 3, 5]
+    assert len(asked) == 2
