@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.engine import line_count
 from lodestone.functions import paths
 from lodestone.limits import Limits
+from lodestone.llm.rows import slices
 from lodestone.operators import diff, extract, link, pattern, syntax
 from lodestone.session import scratch_path
 from lodestone.sources import corpus
@@ -203,19 +207,23 @@ def stream_collapse(spark, sf_dir):
     return batches.groupBy("path").agg(F.max_by("change", "seq").alias("change"), F.max("seq").alias("seq"))
 
 
+def tag_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(tag, n) of a task's pages by slices; one page's tree stands at a time, so that batches of any size fit."""
+    parts = pattern.compile_pattern("(element name: (tag_name) @tag)")
+    for batch in slices("structure", batches, 0):
+        counts: Counter[str] = Counter()
+        for html in batch.column(0):
+            tree = syntax.parse("html", html.as_py() or "")
+            counts.update(tree.source.slice(node).lower() for _, node in pattern.matches(parts, tree))
+        yield pa.record_batch({"tag": pa.array(counts.keys(), pa.string()), "n": pa.array(counts.values(), pa.int64())})
+
+
 @query("""WITH m AS (SELECT unnest(regexp_extract_all(regexp_replace(html, '<script>.*?</script>|<style>.*?</style>|<!--.*?-->', '', 'gs'), '<([a-zA-Z][a-zA-Z0-9]*)[ >/]', 1)) AS tag FROM pages
 UNION ALL SELECT unnest(regexp_extract_all(html, '<(script|style)>', 1)) FROM pages) SELECT lower(tag) AS tag, count(*) AS n FROM m GROUP BY 1""")
 def structure_matches(spark, sf_dir):
     """Captures of a tree pattern over every page, by their text."""
-    text = "(element name: (tag_name) @tag)"
-
-    def run(batches):
-        parts = pattern.compile_pattern(text)
-        for batch in batches:
-            trees = [syntax.parse("html", html or "") for html in batch["html"]]
-            yield pd.DataFrame({"tag": [tree.source.slice(node).lower() for tree in trees for _, node in pattern.matches(parts, tree)]})
-
-    return table(spark, sf_dir, "pages").select("html").mapInPandas(run, "tag string").groupBy("tag").agg(F.count("*").alias("n"))
+    found = table(spark, sf_dir, "pages").select("html").mapInArrow(tag_counts, "tag string, n bigint")
+    return found.groupBy("tag").agg(F.sum("n").alias("n"))
 
 
 @query("SELECT table_name, column_name FROM information_schema.columns WHERE table_name IN ('documents', 'pages', 'labels', 'lineitem')")
