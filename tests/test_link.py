@@ -78,3 +78,22 @@ def test_from_import_names_its_module(parts, a, b, c, name):
 
 def test_paths_stop_at_the_root():
     assert link.joined("a/b", "../../../x") == "x" and link.joined("", "./y/./z") == "y/z" and link.joined("a", "..") == ""
+
+
+def test_rows_that_share_their_key_stay_single(spark):
+    rows = [("web/app.ts", 1, "typescript", "import {x} from './only'")] * 3 + [("src/a/b.rs", 1, "rust", "use crate::helper;")] * 2 + [("a.py", 2, None, None), (None, None, "python", "from pkg.a import x"), (None, None, "rust", None)]
+    imports = spark.createDataFrame(rows, "from_path string, ord bigint, language string, raw string")
+    paths = spark.createDataFrame([(p,) for p in sorted(KNOWN)] * 2, "path string")
+    found = sorted((r.from_path or "", r.to_path or "", r.resolution_kind, r.confidence or "") for r in link.edges(imports, paths).collect())
+    want = [(p or "", *(x or "" for x in (lambda kind, sure, to: (to, kind, sure))(*link.resolve(lang or "", p or "", raw or "", KNOWN)))) for p, _, lang, raw in rows]
+    assert found == sorted(want)
+
+
+def test_joins_agree_with_the_plain_form_on_many_known_sets(spark):
+    known = {b + x for b in ("m/a", "m/a.b", "m", "py") for kind in link.SUFFIXES for x in link.SUFFIXES[kind]} | {"", "/index.js", "/__init__.py", "index", "a/", ".js", "é/ü.ts"}
+    raws = ["import './a'", "import './a.b'", "import './a.js'", "import '../m'", "import '../py'", "import './index'", "import '../é/ü'", "from .a import x", "from . import x", "from ... import x", "import m.a", "import m.a.b", "from m.a.js import x", '#include "a"', "use m::a", "import '.././'", "import react"]
+    groups = [sorted(known)[k::7] for k in range(7)] + [sorted(known)]
+    imports = [("m/x" if k % 2 else "x", n, lang, raw) for n, (k, lang, raw) in enumerate((k, lang, raw) for k in range(2) for lang in ("python", "javascript", "c", "go") for raw in raws)]
+    for group in groups:
+        got = {r.ord: (r.resolution_kind, r.confidence, r.to_path) for r in link.edges(spark.createDataFrame(imports, "from_path string, ord bigint, language string, raw string"), spark.createDataFrame([(p,) for p in group], "path string")).collect()}
+        assert got == {n: link.resolve(lang, p, raw, set(group)) for p, n, lang, raw in imports}
