@@ -97,3 +97,11 @@ def test_joins_agree_with_the_plain_form_on_many_known_sets(spark):
     for group in groups:
         got = {r.ord: (r.resolution_kind, r.confidence, r.to_path) for r in link.edges(spark.createDataFrame(imports, "from_path string, ord bigint, language string, raw string"), spark.createDataFrame([(p,) for p in group], "path string")).collect()}
         assert got == {n: link.resolve(lang, p, raw, set(group)) for p, n, lang, raw in imports}
+
+
+def test_imports_are_not_spread_over_their_suffixes(spark):
+    imports = spark.range(10).selectExpr("concat('m/f', id, '.js') as from_path", "id as ord", "'javascript' as language", "concat(\"import x from './f\", id + 1, \"'\") as raw")
+    made = link.edges(imports, imports.selectExpr("from_path as path"))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapIn") <= 3 and plan.count("hashpartitioning") <= 5 and "BroadcastHashJoin" not in plan
+    assert sum(r.to_path is not None for r in made.collect()) == 9
