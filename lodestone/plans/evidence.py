@@ -38,7 +38,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.evidence_rows(extract.analyzed(corpus.classified(corpus.from_pages(table(spark, sf_dir, "pages")))))
+    return extract.evidence_of(corpus.classified(corpus.from_pages(table(spark, sf_dir, "pages"))))
 
 
 DOC_PATH = "source || '/' || doc_id || '.' || lang"

@@ -4,6 +4,7 @@ import tracemalloc
 
 import pyarrow as pa
 
+from lodestone.operators import extract
 from lodestone.plans import evidence
 
 PAGE = "<html><body>" + '<div class="a"><p>some <b>text</b></p></div>' * 40 + "</body></html>"
@@ -34,3 +35,24 @@ def test_tags_are_counted_over_slices():
         for tag, n in zip(b["tag"].to_pylist(), b["n"].to_pylist()):
             found[tag] = found.get(tag, 0) + n
     assert found == {"html": 600, "body": 600, "div": 24000, "p": 24000, "b": 24000}
+
+
+def test_evidence_of_a_batch_is_bounded_by_bytes():
+    page = PAGE.replace("<p>", '<section><p><a href="/x">y</a>').replace("</p>", "</p></section>")
+    rows = lambda n: {"path": [f"p{k}" for k in range(n)], "content": [page] * n, "language": ["html"] * n, "lossy": [False] * n}
+    few, many = (peak(rows(n), extract.path_evidence) for n in (100, 500))
+    assert many < 2 * few
+    found = list(extract.path_evidence(iter([pa.record_batch(rows(500))])))
+    assert len(found) > 3 and sum(b.num_rows for b in found) == 500 * len(extract.analyze(page, "html")[1])
+    assert list(dict.fromkeys(p for b in found for p in b["path"].to_pylist())) == rows(500)["path"]
+
+
+def test_files_of_one_path_or_none_keep_their_own_evidence(spark):
+    files = [("a.html", "<h1>x</h1>", "html"), ("a.html", "<h2>y</h2><!-- c -->", "html"), (None, "<title>z</title>", "html"), ("b.bin", None, None), ("c.html", "", "html")]
+    df = spark.createDataFrame([(p, t, lang, False, k) for k, (p, t, lang) in enumerate(files)], "path string, content string, language string, lossy boolean, place int")
+    want = sorted((p or "", *r[:4]) for p, t, lang in files for r in extract.analyze(t, lang)[1])
+    assert sorted((r.path or "", r.ord, r.key, r.kind, r.origin) for r in extract.evidence_of(df).collect()) == want
+    whole = {r.place: r for r in extract.analyzed(df).collect()}
+    for k, (p, t, lang) in enumerate(files):
+        status, rows = extract.analyze(t, lang)
+        assert (whole[k].path, whole[k].content) == (p, t) and tuple(whole[k])[5:9] == status and [tuple(r) for r in whole[k].rows] == rows
