@@ -1,6 +1,7 @@
 """What a Python worker holds of one Arrow batch, without Spark."""
 
 import tracemalloc
+from collections import Counter
 
 import pyarrow as pa
 
@@ -56,3 +57,13 @@ def test_files_of_one_path_or_none_keep_their_own_evidence(spark):
     for k, (p, t, lang) in enumerate(files):
         status, rows = extract.analyze(t, lang)
         assert (whole[k].path, whole[k].content) == (p, t) and tuple(whole[k])[5:9] == status and [tuple(r) for r in whole[k].rows] == rows
+
+
+def test_evidence_queries_do_not_shuffle_texts(spark):
+    made = evidence.report_evidence_kinds(spark, "/root/testdata/sf0.001")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == 1 and plan.count("Exchange") == 1
+    want = Counter()
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect():
+        want.update((x[2], x[4]) for x in extract.analyze(r.html, "html")[1])
+    assert {(r.kind, r.span_availability): r.n for r in made.collect()} == want
